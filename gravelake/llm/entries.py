@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, token_counts
+from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, substring_dedup, token_counts
 
 QUERIES = {
     "op2_odd_sketch_dedup": odd_sketch_dedup.op2_odd_sketch_dedup,
     "op3_bpe_codec": bpe_codec.op3_bpe_codec,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_hilbert_packing": hilbert_packing.op8_hilbert_packing,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
