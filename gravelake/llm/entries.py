@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, substring_dedup, token_counts
+from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_odd_sketch_dedup": odd_sketch_dedup.op2_odd_sketch_dedup,
     "op3_bpe_codec": bpe_codec.op3_bpe_codec,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
