@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, pii, quality_gbt, quality_rules, substring_dedup, token_counts
+from . import bpe_codec, exact_dedup, hilbert_packing, odd_sketch_dedup, pii, quality_gbt, quality_rules, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_quality_gbt": quality_gbt.op5_quality_gbt,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_url_filters": url_filters.op7_url_filters,
     "op8_hilbert_packing": hilbert_packing.op8_hilbert_packing,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op4_pii": pii.op4_pii,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op7_url_filters": url_filters.OP7_SQL,
 }

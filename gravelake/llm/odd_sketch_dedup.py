@@ -203,7 +203,7 @@ def op2_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
     """The input's rows, all columns, without those whose component has a smaller id."""
-    drop = near_duplicates(docs, percent=percent).filter("not (doc_id <=> component_id)").select("doc_id")
+    drop = near_duplicates(docs, percent=percent, bands=bands).filter("not (doc_id <=> component_id)").select("doc_id")
     return docs.join(materialise(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
