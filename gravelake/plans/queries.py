@@ -657,3 +657,53 @@ def sessions(spark, sf_dir):
     """Session windows with a gap of two hours."""
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t")).select("user_id", F.unix_timestamp("t").alias("first_s"), "n")
+
+
+# Programs of several steps; checked in the tests against brute force and invariants ---------------------------------
+
+
+@query()
+def power_spectrum(spark, sf_dir):
+    """Power and quadrupole of all particles on a grid of 32**3."""
+    from gravelake.operators.power import power_spectrum as spectrum
+
+    return spectrum(particles(spark, sf_dir), 32, ells=(0, 2))
+
+
+@query()
+def halo_catalogue(spark, sf_dir):
+    """Groups, spheres and statistics of all particles, with loose thresholds since these particles are unclustered."""
+    from gravelake.plans.halo_finding import Finding, find_halos
+
+    p = particles(spark, sf_dir).dropDuplicates(["pid"])
+    found = find_halos(p, 6000, Finding(link=0.5, kernel=0.6, density_threshold=0.0, l1_delta=2.0, l2_delta=8.0, min_np=0.01, min_l1=2))
+    return found["halos"].select("l1", "l0", "n", "l0_n", "r100", "vmax", "npoutA", "npoutB", "npoutA_start", "npoutB_start", "l2_n")
+
+
+@query()
+def two_steps(spark, sf_dir):
+    """Two time steps with near forces; the log of the steps."""
+    import uuid
+
+    from gravelake.plans.stepping import near_only, run_steps
+    from gravelake.storage import shared_folder
+
+    p = particles(spark, sf_dir).dropDuplicates(["pid"]).withColumns({f"a{c}": F.lit(0.0) for c in "xyz"})
+    return run_steps(p, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", CPD, [(1e-6, 1e-3), (1e-6, 1e-3)], near_only(TINY_LINK, 0.001))
+
+
+@query()
+def phase_space_groups(spark, sf_dir):
+    """Spins, bound fractions and shapes of groups."""
+    from gravelake.operators.phase_space import angular_momentum, basic_properties, shapes
+
+    p = particles(spark, sf_dir)
+    return basic_properties(p, "grp").join(angular_momentum(p, "grp").select("grp", "spin", "kinetic"), "grp").join(shapes(p, "grp"), "grp")
+
+
+@query()
+def expansion_history(spark, sf_dir):
+    """Epochs of a flat cosmology."""
+    from gravelake.functions.cosmology import Cosmology, epochs
+
+    return epochs(spark, Cosmology(0.3, 0.7), [0.0, 0.1, 0.5, 1.0, 2.0, 5.0, 9.0])
