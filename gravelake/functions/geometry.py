@@ -94,3 +94,8 @@ def symmetric_eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Co
     high = q + 2 * p * F.cos(angle)
     low = q + 2 * p * F.cos(angle + 2 * 3.141592653589793 / 3)
     return high, 3 * q - high - low, low
+
+
+def lattice_offset(x: Column, site: Column, ppd: int, box: float = 1.0) -> Column:
+    """Displacement of a coordinate from its lattice site, by the shortest image."""
+    return minimum_image(x - (site / ppd - 0.5) * box, box)

@@ -659,6 +659,57 @@ def sessions(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "2 hours")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("t")).select("user_id", F.unix_timestamp("t").alias("first_s"), "n")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT id, n, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM l)
+SELECT id, unnest(range(s, s + n)) AS slot FROM o""")
+def range_owners(spark, sf_dir):
+    """Which halo owns each slot of the particle list."""
+    return ordered.owners(ordered.prefix_offsets(_lines(spark, sf_dir), ["id"], ["n"]), "id", "n_start", "n", "slot")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders), b AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) AS r FROM customer)
+SELECT o_orderkey AS id, c_custkey AS other, round(o_totalprice - c_acctbal, 4) AS difference FROM a JOIN b USING (r)""")
+def positional_join(spark, sf_dir):
+    """Rows of two sorted tables side by side."""
+    z = ordered.zipped(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    return z.select(F.col("o_orderkey").alias("id"), F.col("r_c_custkey").alias("other"), F.round(F.col("o_totalprice") - F.col("r_c_acctbal"), 4).alias("difference"))
+
+
+@query(f"""WITH {P}, s AS (SELECT pid, x, pid % 32768 % 64 AS i FROM p), d AS (SELECT pid, x - (i / 64.0::DOUBLE - 0.5) AS d FROM s) SELECT pid, round(d - round_even(d, 0), 9) AS moved FROM d""")
+def lattice_displacements(spark, sf_dir):
+    """How far particles are from their lattice sites."""
+    site = bits.lattice(F.col("pid") % 32768, 0) % 64
+    return particles(spark, sf_dir).select("pid", F.round(geometry.lattice_offset(F.col("x"), site, 64), 9).alias("moved"))
+
+
+@query(f"""WITH {H}, b AS (SELECT id, x - r AS lo, x + r AS hi FROM h)
+SELECT id, ((0.45 - lo) - floor(0.45 - lo)) <= hi - lo OR ((lo - 0.45) - floor(lo - 0.45)) <= 0.1::DOUBLE AS crosses FROM b""")
+def box_overlaps(spark, sf_dir):
+    """Halos whose extent along x meets a periodic interval across the edge."""
+    h = halos(spark, sf_dir)
+    lo, hi = F.col("x") - F.col("r"), F.col("x") + F.col("r")
+    return h.select("id", geometry.boxes_overlap(lo, hi, F.lit(0.45), F.lit(0.45) + 0.1, 1.0).alias("crosses"))
+
+
+@query("""SELECT CAST(i AS INTEGER) AS k, round(1 - pow(sin(pi() * i / 32), 2) + 2 * pow(sin(pi() * i / 32), 4) / 15, 9) AS aliased,
+  round(CASE WHEN i = 0 THEN 1 ELSE pow(sin(pi() * i / 32) / (pi() * i / 32), 6) END, 9) AS plain, round((231 * pow(i / 16.0::DOUBLE, 6) - 315 * pow(i / 16.0::DOUBLE, 4) + 105 * pow(i / 16.0::DOUBLE, 2) - 5) / 16, 9) AS l6 FROM range(17) t(i)""")
+def window_functions(spark, sf_dir):
+    """Grid windows and the sixth Legendre polynomial at 17 points."""
+    k = spark.range(17).select(F.col("id").cast("int").alias("k"))
+    wave, mu = F.col("k") * (2 * math.pi / 32), F.col("k") / 16
+    return k.select("k", F.round(geometry.tsc_window(wave, 1.0), 9).alias("aliased"), F.round(geometry.tsc_window(wave, 1.0, aliased=False), 9).alias("plain"), F.round(geometry.legendre(6, mu), 9).alias("l6"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS host, o_orderkey AS halo, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1, 2)
+SELECT host, halo, n AS count, CAST(coalesce(sum(n) OVER (PARTITION BY host ORDER BY halo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_start FROM o""")
+def merged_lists(spark, sf_dir):
+    """Particle lists of merged halos laid out in their hosts."""
+    from gravelake.operators.merging import merged_particles
+
+    lists = ordered.prefix_offsets(_lines(spark, sf_dir), ["id"], ["n"]).select(F.col("id").alias("halo"), F.col("n_start").alias("start"), F.col("n").alias("count"))
+    members = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("host"), F.col("o_orderkey").alias("halo"))
+    return merged_particles(lists, members).select("host", "halo", "count", "new_start")
+
+
 # Programs of several steps; checked in the tests against brute force and invariants ---------------------------------
 
 
@@ -676,7 +727,7 @@ def halo_catalogue(spark, sf_dir):
     from gravelake.plans.halo_finding import Finding, find_halos
 
     p = particles(spark, sf_dir).dropDuplicates(["pid"])
-    found = find_halos(p, 6000, Finding(link=0.5, kernel=0.6, density_threshold=0.0, l1_delta=2.0, l2_delta=8.0, min_np=0.01, min_l1=2))
+    found = find_halos(p, p.count(), Finding(link=0.5, kernel=0.6, density_threshold=0.0, l1_delta=2.0, l2_delta=8.0, min_np=0.01, min_l1=2))
     return found["halos"].select("l1", "l0", "n", "l0_n", "r100", "vmax", "npoutA", "npoutB", "npoutA_start", "npoutB_start", "l2_n")
 
 
