@@ -207,3 +207,18 @@ def keep_one(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFram
     """The input's rows, all columns, without those whose component has a smaller id."""
     drop = near_duplicates(docs, percent=percent, bands=bands).filter("not (doc_id <=> component_id)").select("doc_id")
     return docs.join(materialise(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r(node, label) AS (SELECT a, a FROM edge UNION SELECT e.b, r.label FROM r JOIN edge e ON e.a = r.node),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.label, w.doc_id) AS component_id, coalesce(c.label, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = w.doc_id
+"""

@@ -224,3 +224,18 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Words of repeated 35-word windows removed from all documents."""
     return remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT rid, list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i+34], ' '))) AS h FROM d WHERE len(w) >= 35),
+s AS (SELECT rid, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS h FROM k),
+r AS (SELECT h FROM s GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT rid, list(DISTINCT p) AS g FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM s SEMI JOIN r USING (h)) GROUP BY 1),
+flat AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d SEMI JOIN gone USING (rid)),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS t FROM flat WHERE NOT EXISTS (SELECT 1 FROM (SELECT rid AS x, unnest(g) AS y FROM gone) z WHERE z.x = flat.rid AND z.y = flat.p) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)
+"""
