@@ -5,14 +5,17 @@
    toggles one of 512 bits, so the XOR of two sketches has the parity bits of
    the samples' symmetric difference, whose size its population count tells.
 2. Equal sets are one node (the smallest id).  In every band bucket two hubs,
-   the extremes of an order that differs from bucket to bucket, get a candidate
-   link to every member: linear in the bucket, whatever its size.
+   the most central member and one at random, get a candidate link to every
+   member: linear in the bucket, whatever its size.
 3. Sketches that are too far apart, and sizes that rule the similarity out,
    drop candidates; the others are confirmed on the full sets, first the best
    candidate of each node, then what still joins different components.
-4. Buckets that still hold several components are compared across components,
-   all members with all, by sketches inside the join, then on full sets: links
-   that no hub shows are found there.  No bucket is capped.
+4. Buckets that still hold several components may have links that no hub
+   shows.  Members whose shingles are too often theirs alone are out (an exact
+   bound: such shingles are in no intersection, and few are enough to miss the
+   threshold with every set of the bucket); the others are compared across
+   components inside the join, by sizes, bounds, sketches and then full sets,
+   so that only links leave it.  No bucket is capped.
 
 A pair at the threshold shares no bucket with probability (1 - s**ROWS)**BANDS,
 2e-8 at a similarity of 0.85, and is lost to the sketch with less than 1e-9.
@@ -128,10 +131,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, band
     nodes = materialise(filled.groupBy("node").agg(F.min("id").alias("rep"), F.max("id").alias("most")), "nodes")
     reps = materialise(filled.join(nodes.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").select("id", "n", "bands", "sketch"), "reps")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
+    shared = materialise(buckets.join(sizes, "bucket"), "shared")
+    # Central documents have their samples in common with many others.
+    central = materialise(shared.groupBy("id").agg(F.sum(F.floor(F.log2("size"))).alias("centre")), "central")
+    shared = materialise(shared.join(central, "id").select("id", "bucket", "centre"), "shared")
     order = F.col("id").bitwiseXOR(F.col("bucket"))
-    hubs = materialise(buckets.groupBy("bucket").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).filter("lo != hi"), "hubs")
-    shared = materialise(buckets.join(hubs, "bucket").select("id", "bucket", F.col("lo").bitwiseXOR(F.col("bucket")).alias("lo"), F.col("hi").bitwiseXOR(F.col("bucket")).alias("hi")), "shared")
-    stars = shared.select("id", F.explode(F.array("lo", "hi")).alias("hub")).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hubs = materialise(shared.groupBy("bucket").agg(F.max(F.struct("centre", F.bitwise_not("id").alias("x"))).alias("top"), F.min(order).alias("lo")).select("bucket", F.bitwise_not("top.x").alias("h1"), F.col("lo").bitwiseXOR(F.col("bucket")).alias("h2")), "hubs")
+    stars = shared.join(hubs, "bucket").select("id", F.explode(F.array("h1", "h2")).alias("hub")).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     sketches = reps.select("id", "n", "sketch")
 
     def side(name: str) -> DataFrame:
@@ -178,15 +185,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, band
     labels = components(materialise(confirmed(rest), "links"), labels)
 
     # Buckets with several components: what hubs did not show.
-    within = materialise(shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("label", F.xxhash64("id")).alias("label")), "within")
-    mixed = within.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-    members = materialise(within.join(materialise(mixed, "mixed"), "bucket", "left_semi").join(sketches, "id"), "members")
-    left = members.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "sketch": "sa"})
-    right = members.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "sketch": "sb"})
-    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("la") < F.col("lb")) & similar_size & (_apart("sa", "sb", longs) <= far))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = materialise(across.join(tried.union(rest), ["a", "b"], "left_anti"), "across")
-    labels = components(materialise(confirmed(across), "links"), labels)
+    within = materialise(shared.select("id", "bucket").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("label", F.xxhash64("id")).alias("label")), "within")
+
+    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
+        found = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), *more)
+        return materialise(found.filter("x != y").drop("x", "y"), "mixed")
+
+    members = materialise(within.join(mixed(within), "bucket", "left_semi"), "members")
+    # A shingle that no other member has is in no intersection: it bounds what a member can reach with anyone.
+    own = sets.join(materialise(members.select("id").distinct(), "member-ids"), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
+    alone = own.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    reach = materialise(members.join(reps.select("id", "n", "sketch", "bands"), "id").join(materialise(alone, "alone"), "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "reach")
+    smallest_in = materialise(reach.groupBy("bucket").agg(F.min("n").alias("least_n")), "smallest-sets")
+    able = materialise(reach.join(smallest_in, "bucket").filter(f"100 * common >= {percent} * (n + least_n - common)").drop("least_n"), "able")
+    able = materialise(able.join(mixed(able), "bucket", "left_semi"), "able")
+    able = able.join(sets, "id")
+    left = able.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "sketch": "sa", "bands": "ba", "common": "ca", "shingles": "xa"})
+    right = able.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "sketch": "sb", "bands": "bb", "common": "cb", "shingles": "xb"})
+    enough = F.expr(f"100 * least(ca, cb) >= {percent} * (na + nb - least(ca, cb))")
+    first_shared = F.array_intersect("ba", "bb")[0] == left["bucket"]  # a pair is looked at in one bucket only
+    linked = (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.col("na") + F.col("nb"))
+    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("la") < F.col("lb")) & similar_size & enough & (_apart("sa", "sb", longs) <= far) & first_shared & linked)
+    labels = components(materialise(across.select("a", "b"), "links"), labels)
 
     # Every node's component, then every row's.
     smallest = materialise(labels.groupBy("label").agg(F.min("node").alias("component")), "smallest")
@@ -204,7 +224,7 @@ def op2_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
-    """The input's rows, all columns, without those whose component has a smaller id."""
+    """The input's rows, all columns, without those whose component has a smaller id; rows without an id stay."""
     drop = near_duplicates(docs, percent=percent, bands=bands).filter("not (doc_id <=> component_id)").select("doc_id")
     return docs.join(materialise(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
 
