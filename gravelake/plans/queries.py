@@ -358,9 +358,7 @@ def descendants(spark, sf_dir):
 SELECT id, arg_min(host, (v, host)) AS parent, CAST(count(*) AS BIGINT) AS containers FROM o GROUP BY id""")
 def parents(spark, sf_dir):
     """Of the larger halos whose radius holds a halo's centre, the one with the smallest vmax."""
-    h = halos(spark, sf_dir)
-    reach = 0.016  # the largest radius: seven lines
-    pairs = neighbours.pairs_within(h, h, reach).filter("id != r_id and r_r > r and d2 < r_r * r_r")
+    pairs = neighbours.containing(halos(spark, sf_dir).select("id", *"xyz", "r", "vmax"))
     return pairs.groupBy("id").agg(F.min(F.struct(F.col("r_vmax").alias("v"), F.col("r_id").alias("i"))).alias("x"), F.count(F.lit(1)).alias("containers")).select("id", F.col("x.i").alias("parent"), "containers")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gravelake.functions import bits, cosmology, geometry, healpix, packing, sampling
 from gravelake.operators import graph, halos, lightcone, maps, merging, neighbours, ordered, phase_space, power
+from gravelake.plans import queries
+from gravelake.plans.views import halos as view_halos
 from gravelake.sources.lattice import lattice, plane_wave
 
 
@@ -40,6 +42,41 @@ def test_pairs(spark, radius):
     assert both.count() == 2 * len(want)
 
 
+def held(x, r):
+    """Pairs (i, j) with i within the larger radius of j, without cells or a reach."""
+    pairs = set()
+    for at in range(0, len(x), 200):
+        d = x[at : at + 200, None] - x[None]
+        d -= np.rint(d)
+        i, j = np.nonzero(((d**2).sum(2) < r[None] ** 2) & (r[None] > r[at : at + 200, None]))
+        pairs |= {(int(a) + at, int(b)) for a, b in zip(i, j, strict=True)}
+    return pairs
+
+
+def test_containing(spark):
+    """Radii over all levels, among them none, one below the finest cells and one of more than the box."""
+    x, _, df = points(spark, 400, 4, clumps=3)
+    r = np.exp(np.random.default_rng(5).uniform(np.log(0.002), np.log(0.4), 400))
+    r[:6] = 0, -1, 1e-8, 0.5, 1.5, 1 / 3
+    df = df.select("pid", "x", "y", "z").join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(r)], "pid long, r double"), "pid")
+    got = [(p.pid, p.r_pid) for p in neighbours.containing(df).collect()]
+    want = held(x, r)
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert neighbours.containing(df.limit(0)).count() == 0
+
+
+def test_parents_have_no_reach(spark):
+    """All containments of the halo table, which has radii above 0.016, against brute force."""
+    sf_dir = "/root/testdata/sf0.01"
+    h = view_halos(spark, sf_dir).select("id", "x", "y", "z", "r", "vmax").toPandas()
+    want = {}
+    for i, j in held(h[["x", "y", "z"]].to_numpy(), h.r.to_numpy()):
+        want.setdefault(int(h.id[i]), []).append((h.vmax[j], int(h.id[j])))
+    got = {p.id: (p.parent, p.containers) for p in queries.parents(spark, sf_dir).collect()}
+    assert h.r.max() > 0.016 and got
+    assert got == {i: (min(v)[1], len(v)) for i, v in want.items()}
+
+
 def test_density_force_and_knn(spark):
     x, _, df = points(spark, 300)
     d2, b = periodic(x), 0.15
