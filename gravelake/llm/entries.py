@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
-    "op4_pii": pii.op4_pii,
     "op2_odd_sketch_dedup": odd_sketch_dedup.OP2_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
