@@ -16,8 +16,10 @@ matrices get ``FLOORS`` on their diagonals, so that a statistic that is
 constant in a group does not reject the first document that differs a little.
 
 A group is a language and source with at least ``LEAST`` documents that pass
-the base rules; smaller ones are pooled by language, and if that is still too
-small they are judged by the base rules alone.
+the base rules; smaller ones are pooled by language.  Where that is still too
+small, the documents are judged by an estimate over the whole language, and if
+that is too small as well, over the whole corpus, however small it is.  So every
+document that passes the base rules has a distance.
 
 Defined results: null text has no words and fails the base rules; null
 language or source is a value of its own; rows are independent, so repeated
@@ -231,10 +233,15 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     rows = materialise(rows, "statistics")
     sizes = materialise(rows.filter("not base_failed").groupBy("l", "s").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     pooled = sizes.filter(f"n < {LEAST}").groupBy("l").agg(F.sum("n").alias("pool"))
-    groups = sizes.join(pooled, "l", "left").select("l", "s", F.when(F.col("n") >= LEAST, F.concat("l", F.lit("/"), "s")).when(F.col("pool") >= LEAST, F.concat("l", F.lit("/*"))).alias("gid"))
-    groups = materialise(groups.filter("gid is not null"), "groups")
+    whole = sizes.groupBy("l").agg(F.sum("n").alias("in_language"))
+    gid = F.when(F.col("n") >= LEAST, F.concat("l", F.lit("/"), "s")).when(F.col("pool") >= LEAST, F.concat("l", F.lit("/*"))).when(F.col("in_language") >= LEAST, F.col("l")).otherwise("*")
+    groups = materialise(sizes.join(pooled, "l", "left").join(whole, "l").select("l", "s", gid.alias("gid")), "groups")
+    # A row feeds its own group or pool, and the wider estimates that some group is judged by.
+    feeds = groups.filter("gid like '%/%'").unionByName(sizes.join(groups.filter("gid = l").select("l", "gid").distinct(), "l").select("l", "s", "gid"))
+    if not groups.filter("gid = '*'").isEmpty():
+        feeds = feeds.unionByName(sizes.select("l", "s", F.lit("*").alias("gid")))
     vectors = [f"x{i}" for i in range(_P)]
-    sample = materialise(rows.filter("not base_failed").join(groups, ["l", "s"]).select("gid", *vectors), "vectors")
+    sample = materialise(rows.filter("not base_failed").join(feeds, ["l", "s"]).select("gid", *vectors), "vectors")
     params = estimate(sample).drop("log_det")
     limit = chi2_quantile(1 - tail, _P)
     by_group = materialise(groups.join(params, "gid").drop("gid"), "mcd-groups")

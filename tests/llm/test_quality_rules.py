@@ -1,6 +1,7 @@
 """Statistics against plain Python; the estimate against numpy; verdicts."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gravelake.llm import quality_rules as q
 
-from .conftest import odd_rows
+from .conftest import odd_rows, sentence
 
 
 def plain(text):
@@ -73,6 +74,23 @@ def test_verdicts(spark):
     assert all(good) and sum(poor) <= 0.2 * len(poor)
 
 
+def test_small_groups_are_judged(spark):
+    """Rare and null languages and sources: by their language, or the corpus, in every case with a distance."""
+    rng = random.Random(3)
+    text = lambda: sentence(rng, rng.randint(40, 60))
+    junk = lambda: " ".join("#" + "".join(rng.choice("#$%&*") for _ in range(6)) for _ in range(50))
+    groups = [("en", "s0")] * 200 + [("de", "s0")] * 60 + [("en", "rare")] * 4 + [("en", None)] * 4 + [("xx", "s0")] * 4 + [(None, None)] * 4
+    rows = [(i, text(), *g) for i, g in enumerate(groups)]
+    small = [("en", "rare"), ("en", None), ("xx", "s0"), (None, None)]
+    bad = [(1000 + i, junk(), *g) for i, g in enumerate(small)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = q.judge(spark.createDataFrame(rows + bad, schema)).collect()
+    assert not any(r.base_failed for r in got) and all(r.distance is not None for r in got)
+    assert {r.doc_id for r in got if not r.kept} == {r[0] for r in bad}
+    few = q.judge(spark.createDataFrame(rows[:5], schema)).collect()
+    assert len(few) == 5 and all(r.distance is not None for r in few)
+
+
 def test_small_and_odd_tables(odd, with_repeats, nothing):
     assert q.judge(nothing).count() == 0 and q.keep_good(nothing).columns == nothing.columns
     rows = q.judge(with_repeats).collect()
