@@ -122,22 +122,27 @@ def nfw_scale(members: DataFrame, by: str, bins: int = 50) -> DataFrame:
     return members.select(by, "x", "y", "z").groupBy(by).applyInPandas(one, f"{by} bigint, n bigint, rs double")
 
 
-def child_totals(parents: DataFrame, rounds: int = 32) -> DataFrame:
-    """``id, total``: own count plus those of all descendants of a tree ``id, parent, n`` (null: a root), level by level from the leaves."""
+def child_totals(parents: DataFrame) -> DataFrame:
+    """``id, total``: own count plus those of all descendants of a tree ``id, parent, n`` (null: a root); an error if there is a cycle.
+
+    By pointer doubling: after r rounds a total covers the descendants fewer
+    than 2**r steps below, and the pointer spans 2**r steps.
+    """
     from gravelake.storage import stored
 
-    spread = parents.select("id", F.col("id").alias("top"), "n")
-    up = parents.select(F.col("id").alias("top"), "parent")
-    level, parts = spread, [spread]
-    for _ in range(rounds):
-        level = stored(level.join(up, "top").filter("parent is not null").select("id", F.col("parent").alias("top"), "n"), "ancestors")
-        if level.isEmpty():
-            break
-        parts.append(level)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(F.col("top").alias("id")).agg(F.sum("n").alias("total"))
+    given = parents.select("id", F.col("parent").alias("up"), F.col("n").alias("total"))
+    unlisted = given.select(F.col("up").alias("id")).distinct().filter("id is not null").join(given, "id", "left_anti")
+    now = stored(given.unionByName(unlisted, allowMissingColumns=True), "totals")
+    most, span = now.count(), 1
+    while not now.filter("up is not null").isEmpty():
+        if span > most:
+            raise ValueError("the parents form a cycle")
+        below = now.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"))
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        total = F.coalesce(F.col("total") + F.col("more"), "total", "more").alias("total")
+        now = stored(now.join(below, "id", "left").join(ahead, "up", "left").select("id", F.col("up2").alias("up"), total), "totals")
+        span *= 2
+    return now.select("id", "total")
 
 
 def closest_parents(halos: DataFrame, by: str, box: float, reach: float) -> DataFrame:

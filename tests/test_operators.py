@@ -308,6 +308,13 @@ def test_phase_space(spark):
     assert all(r.m1 is None or 0 < r.m1 <= 60 for r in so)
 
 
+def test_child_totals_of_a_deep_chain(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None, 1) for i in range(75)], "id long, parent long, n long")
+    assert {r.id: r.total for r in phase_space.child_totals(chain).collect()} == {i: 75 - i for i in range(75)}
+    with pytest.raises(ValueError):
+        phase_space.child_totals(spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 1, 1)], "id long, parent long, n long"))
+
+
 def test_cosmology(spark):
     flat = cosmology.Cosmology(0.3, 0.7)
     eds = cosmology.Cosmology(1.0, 0.0)
