@@ -21,7 +21,7 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes hashed at once; also the size of the cached power tables.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
