@@ -10,8 +10,10 @@ Estimation is deterministic and needs no gathering: from two starts
 (coordinatewise quantiles; classical moments) concentration steps keep the
 ``SUPPORT`` share of a group's documents with the smallest distances.  Their
 quantile is read from counts over fixed distance bins and the moments are
-partial aggregates, so a hot source costs one row for each task and bin.  The
-start with the smaller determinant wins and is reweighted once.  Scatter
+partial aggregates, so a hot source costs one row for each task and bin.  Up to
+``MOST_GROUPS`` groups their parameters are broadcast; beyond that documents
+meet them by (group, salt), so that a hot source's documents go to many tasks.
+The start with the smaller determinant wins and is reweighted once.  Scatter
 matrices get ``FLOORS`` on their diagonals, so that a statistic that is
 constant in a group does not reject the first document that differs a little.
 
@@ -22,9 +24,10 @@ that is too small as well, over the whole corpus, however small it is.  So every
 document that passes the base rules has a distance.
 
 Defined results: null text has no words and fails the base rules; null
-language or source is a value of its own; rows are independent, so repeated
-rows and ids get equal verdicts; other columns are ignored by ``judge`` and
-kept by ``keep_good``; an empty table gives an empty table.
+language or source is a value of its own; every row is judged on its own text,
+also where rows share an id or have none, and repeated rows get equal verdicts;
+other columns, whatever their names, are ignored by ``judge`` and kept by
+``keep_good``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialise, text_columns
+from ._store import finished, materialise, scratch, text_columns
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -49,6 +52,8 @@ STEADY, USUAL = 100, 5
 _NAMES = list(FLOORS)
 _P = len(FLOORS)
 _BINS = 64  # distance bins in a factor of e
+#: Groups whose parameters (24 numbers each, for two starts) are broadcast, 8 MB at most; parts of a group beyond that.
+MOST_GROUPS, SALTS = 20_000, 32
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -198,10 +203,19 @@ def _quantile_bins(rows: DataFrame, keys: list[str], bin_column: str, shares: di
     return upto.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") >= s * F.col("all"), F.col(bin_column))).alias(name) for name, s in shares.items()])
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Location and scatter of every group from rows ``gid, x0 ..``; ``rows`` is read many times."""
+def _beside(rows: DataFrame, params: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the parameters of their group; ``rows`` have a ``salt``."""
+    if few:
+        return rows.join(F.broadcast(params), keys, how)
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(salted, [*keys, "salt"], how)
+
+
+def estimate(rows: DataFrame, few: bool) -> DataFrame:
+    """Location and scatter of every group from rows ``gid, salt, x0 ..``; ``rows`` is read many times, ``few``: at most ``MOST_GROUPS`` groups."""
     classical = _moments(rows, ["gid"], 1.0).withColumn("start", F.lit(1))
     floors = list(FLOORS.values())
+    vectors = [f"x{i}" for i in range(_P)]
     long = rows.select("gid", F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.floor(F.col(f"x{i}") / (floors[i] / 4)).alias("bin")) for i in range(_P)])).alias("x")).select("gid", "x.d", "x.bin")
     quartiles = _quantile_bins(long, ["gid", "d"], "bin", {"low": 0.25, "mid": 0.5, "high": 0.75})
     aggs = []
@@ -213,25 +227,32 @@ def estimate(rows: DataFrame) -> DataFrame:
     params = materialise(robust.unionByName(classical), "mcd-starts")
     keys = ["gid", "start"]
     for _ in range(STEPS):
-        placed = rows.join(params, "gid").select(*keys, *[f"x{i}" for i in range(_P)], F.floor(F.log1p(_distance()) * _BINS).alias("bin"))
+        placed = _beside(rows, params, ["gid"], few).select(*keys, "salt", *vectors, F.floor(F.log1p(_distance()) * _BINS).alias("bin"))
         cut = _quantile_bins(placed, keys, "bin", {"cut": SUPPORT})
-        params = materialise(_moments(placed.join(cut, keys).filter("bin <= cut"), keys, _consistency(SUPPORT)), "mcd-step")
+        params = materialise(_moments(_beside(placed, cut, keys, few).filter("bin <= cut"), keys, _consistency(SUPPORT)), "mcd-step")
     best = params.groupBy("gid").agg(F.min(F.struct("log_det", "start")).alias("x")).select("gid", F.col("x.start").alias("start"))
     raw = materialise(params.join(best, keys).drop("start", "log_det"), "mcd-raw")
-    inner = rows.join(raw, "gid").filter(_distance() <= chi2_quantile(0.975, _P))
-    return materialise(_moments(inner.select("gid", *[f"x{i}" for i in range(_P)]), ["gid"], _consistency(0.975)), "mcd")
+    inner = _beside(rows, raw, ["gid"], few).filter(_distance() <= chi2_quantile(0.975, _P))
+    return materialise(_moments(inner.select("gid", *vectors), ["gid"], _consistency(0.975)), "mcd")
 
 
-def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """``doc_id``, the statistics, ``base_failed``, ``distance`` and ``kept`` of every row."""
-    counted = statistics(text_columns(docs, "doc_id", "text", "lang", "source"))
+def _identity() -> Column:
+    """What tells rows apart: equal rows, and only those, get equal numbers (of 64 bits) and verdicts."""
+    return F.xxhash64(*[F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "lang", "source")], F.coalesce("text", F.lit("")))
+
+
+def _verdicts(docs: DataFrame, tail: float, most_groups: int) -> DataFrame:
+    """``judge``'s columns and ``row``, the row's identity."""
+    source = text_columns(docs, "doc_id", "text", "lang", "source")
+    counted = statistics(source.withColumn("row", _identity()))
     mark = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
     rows = counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        mark("lang").alias("l"), mark("source").alias("s"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())],
+        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        mark("lang").alias("l"), mark("source").alias("s"), (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())],
     )
     rows = materialise(rows, "statistics")
     sizes = materialise(rows.filter("not base_failed").groupBy("l", "s").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    few = sizes.count() <= most_groups
     pooled = sizes.filter(f"n < {LEAST}").groupBy("l").agg(F.sum("n").alias("pool"))
     whole = sizes.groupBy("l").agg(F.sum("n").alias("in_language"))
     gid = F.when(F.col("n") >= LEAST, F.concat("l", F.lit("/"), "s")).when(F.col("pool") >= LEAST, F.concat("l", F.lit("/*"))).when(F.col("in_language") >= LEAST, F.col("l")).otherwise("*")
@@ -241,25 +262,28 @@ def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     if not groups.filter("gid = '*'").isEmpty():
         feeds = feeds.unionByName(sizes.select("l", "s", F.lit("*").alias("gid")))
     vectors = [f"x{i}" for i in range(_P)]
-    sample = materialise(rows.filter("not base_failed").join(feeds, ["l", "s"]).select("gid", *vectors), "vectors")
-    params = estimate(sample).drop("log_det")
+    sample = materialise(_beside(rows.filter("not base_failed"), feeds, ["l", "s"], few).select("gid", "salt", *vectors), "vectors")
+    params = estimate(sample, few).drop("log_det")
     limit = chi2_quantile(1 - tail, _P)
     by_group = materialise(groups.join(params, "gid").drop("gid"), "mcd-groups")
     far = F.when(~F.col("base_failed"), _distance())
-    return rows.join(by_group, ["l", "s"], "left").select(
+    return _beside(rows, by_group, ["l", "s"], few, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= limit)).alias("kept"), far.alias("distance"),
+        (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= limit)).alias("kept"), far.alias("distance"), "row",
     )
 
 
-def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The input's rows, all columns, without those that ``judge`` rejects.
+def judge(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -> DataFrame:
+    """``doc_id``, the statistics, ``base_failed``, ``kept`` and ``distance`` of every row."""
+    with scratch(docs.sparkSession):
+        return finished(_verdicts(docs, tail, most_groups).drop("row"), "verdicts")
+
 
-    Rows with a null id are judged with the others and dropped by their verdict only if all rows with null ids are rejected.
-    """
-    verdicts = judge(docs, tail).groupBy("doc_id").agg(F.max("kept").alias("any"))
-    bad = materialise(verdicts.filter("not any").select(F.col("doc_id").alias("__gl_bad")), "rejected")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__gl_bad")), "left_anti").select(*docs.columns)
+def keep_good(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -> DataFrame:
+    """The input's rows, all columns, without those that ``judge`` rejects."""
+    with scratch(docs.sparkSession):
+        bad = finished(_verdicts(docs, tail, most_groups).filter("not kept").select(F.col("row").alias("__gl_row")).distinct(), "rejected")
+    return docs.withColumn("__gl_row", _identity()).join(bad, "__gl_row", "left_anti").select(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -49,9 +49,10 @@ def test_estimate_resists_outliers(spark):
     mix = rng.normal(size=(5, 5)) * 0.5 + np.eye(5) * 2
     good = rng.normal(size=(4000, 5)) @ mix
     bad = rng.normal(size=(1000, 5)) + 25
-    rows = [("g", *map(float, x)) for x in np.vstack([good, bad])]
-    df = spark.createDataFrame(rows, "gid string, " + ", ".join(f"x{i} double" for i in range(5))).cache()
-    p = q.estimate(df).collect()[0]
+    rows = [("g", i % q.SALTS, *map(float, x)) for i, x in enumerate(np.vstack([good, bad]))]
+    df = spark.createDataFrame(rows, "gid string, salt int, " + ", ".join(f"x{i} double" for i in range(5))).cache()
+    p = q.estimate(df, True).collect()[0]
+    assert np.allclose(list(q.estimate(df, False).collect()[0])[1:], list(p)[1:])  # salted instead of broadcast
     mean = np.array([p[f"m{i}"] for i in range(5)])
     low = np.array([[p[f"l{i}_{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
     floors = np.diag([f**2 for f in q.FLOORS.values()])
@@ -99,3 +100,59 @@ def test_small_and_odd_tables(odd, with_repeats, nothing):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in q.judge(odd).filter("kept").collect()}
     assert not math.isnan(q.judge(odd).agg(F.max("distance")).first()[0] or 0.0)
+
+
+def plain_mcd(x):
+    """The estimate in numpy: two starts, concentration steps on binned distances, one reweighting."""
+    floors = np.array(list(q.FLOORS.values()))
+
+    def moments(rows, scale):
+        return rows.mean(0), scale * np.cov(rows.T, bias=True) + np.diag(floors**2)
+
+    def far(rows, m, c):
+        return (np.linalg.solve(np.linalg.cholesky(c), (rows - m).T) ** 2).sum(0)
+
+    def quantile(bins, share):
+        values, n = np.unique(bins, return_counts=True)
+        return values[np.searchsorted(np.cumsum(n), share * len(bins))]
+
+    bins = np.floor(x / (floors / 4))
+    low, mid, high = ([quantile(bins[:, i], s) for i in range(5)] for s in (0.25, 0.5, 0.75))
+    robust = (np.array(mid) + 0.5) * floors / 4, np.diag(((np.array(high) - np.array(low)) * (floors / 4) / 1.349) ** 2 + floors**2)
+    ends = []
+    for start in (robust, moments(x, 1.0)):
+        m, c = start
+        for _ in range(q.STEPS):
+            own = np.floor(np.log1p(far(x, m, c)) * 64)
+            m, c = moments(x[own <= quantile(own, q.SUPPORT)], q._consistency(q.SUPPORT))
+        ends.append((np.log(np.diag(np.linalg.cholesky(c))).sum(), m, c))
+    _, m, c = min(ends, key=lambda e: e[0])
+    m, c = moments(x[far(x, m, c) <= q.chi2_quantile(0.975, 5)], q._consistency(0.975))
+    return far(x, m, c)
+
+
+def test_verdicts_against_plain_mcd(spark):
+    rng = random.Random(9)
+    texts = [sentence(rng, rng.randint(15, 200)) for _ in range(300)] + [" ".join("#$%&" for _ in range(30)), "averyveryverylongword" * 30 + " x" * 12, "a\n" * 3 + sentence(rng, 30)]
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"), most_groups=rng.choice([0, 9])).collect()}
+    rows = []
+    for i, t in enumerate(texts):
+        n, chars, symbols, dup, rep = plain(t)
+        lines = sum(bool(x.encode().split()) for x in t.split("\n"))
+        failed = n < 10 or 100 * rep > 20 * n
+        assert got[i].base_failed == failed
+        if not failed:
+            rows.append((i, [math.log1p(n), math.log((chars + 500) / (n + 100)), math.sqrt(symbols / max(chars, 1)), math.sqrt(dup / max(lines, 1)), math.sqrt(rep / max(n, 1))]))
+    far = plain_mcd(np.array([v for _, v in rows]))
+    assert np.allclose(far, [got[i].distance for i, _ in rows], rtol=1e-6)
+    assert [got[i].kept for i, _ in rows] == (far <= q.chi2_quantile(1 - q.TAIL, 5)).tolist()
+    assert not all(got[i].kept for i, _ in rows)
+
+
+def test_rows_that_share_an_id(spark):
+    """Verdicts are by row: a bad text goes although a good one has its id, or has none like it."""
+    rng = random.Random(4)
+    good = [sentence(rng, 60) for _ in range(40)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(1, "one", "en", "s"), (None, "two", "en", "s"), (None, good[0], "en", "s"), (None, None, None, None)]
+    kept = q.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(kept) == 41 and {r.text for r in kept} == set(good)
