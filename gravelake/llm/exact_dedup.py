@@ -6,6 +6,11 @@ index (whose buckets need no shuffle), and what is new is appended.  Copies
 inside a batch: the row with the largest ``doc_id`` stays.  Copies of texts
 that the index already has: the indexed document stays.
 
+A batch may be ingested again, for instance where the job after it failed: a
+row is kept where its id is the one that the index has for its text, so a
+second run keeps the same rows and appends nothing.  (Rows with a null id can't
+be told apart: they count as the indexed one where that has no id either.)
+
 Defined results: null text counts as empty; a null ``doc_id`` loses to any
 other, and a group of null ids alone keeps null; rows with equal text and equal
 largest id are all marked as the one that stays, and ``keep_first`` leaves one
@@ -83,14 +88,14 @@ class DigestIndex:
         groups = materialise(group_copies(docs), "grouped")
         new = self.add(groups)
         known = groups.select("digest").distinct().join(new.select("digest"), "digest", "left_anti")
-        if known.isEmpty():  # nothing of this batch was indexed before
-            return groups.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-        earlier = materialise(self.table().hint("merge").join(known, "digest", "left_semi").withColumnRenamed("keep_id", "earlier_id"), "known-digests")
+        earlier = self.table().hint("merge").join(known, "digest", "left_semi")
+        earlier = materialise(earlier.select("digest", F.struct("keep_id").alias("indexed")), "known-digests")
+        keep_id = F.when(F.col("indexed").isNull(), F.col("keep_id")).otherwise(F.col("indexed.keep_id"))
         return groups.join(earlier, "digest", "left").select(
             "doc_id",
-            F.coalesce("earlier_id", "keep_id").alias("keep_id"),
+            keep_id.alias("keep_id"),
             "group_size",
-            (F.col("earlier_id").isNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            F.col("doc_id").eqNullSafe(keep_id).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
