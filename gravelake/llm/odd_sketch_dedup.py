@@ -4,26 +4,28 @@
    ``BANDS * ROWS`` MinHash samples, band keys, and an Odd Sketch: each sample
    toggles one of 512 bits, so the XOR of two sketches has the parity bits of
    the samples' symmetric difference, whose size its population count tells.
-2. Equal sets are one node (the smallest id).  In every band bucket two hubs,
-   the most central member and one at random, get a candidate link to every
-   member: linear in the bucket, whatever its size.
+2. Equal sets are one node, for which one row stands.  In every band bucket two
+   hubs, the most central member and one at random, get a candidate link to
+   every member: linear in the bucket, whatever its size.
 3. Sketches that are too far apart, and sizes that rule the similarity out,
    drop candidates; the others are confirmed on the full sets, first the best
    candidate of each node, then what still joins different components.
 4. Buckets that still hold several components may have links that no hub
-   shows.  Members whose shingles are too often theirs alone are out (an exact
-   bound: such shingles are in no intersection, and few are enough to miss the
-   threshold with every set of the bucket); the others are compared across
-   components inside the join, by sizes, bounds, sketches and then full sets,
-   so that only links leave it.  No bucket is capped.
+   shows.  Their members are compared across components by a prefix filter:
+   each set's shingles are ordered by how often other components have them, the
+   rarest first, and two sets that are similar enough share one of the first
+   ``n - ceil(s * n) + 1``, at places that leave enough room behind them.  Sizes,
+   places and sketches are tested inside that join; sets are joined to what is
+   left.  No bucket is capped.
 
 A pair at the threshold shares no bucket with probability (1 - s**ROWS)**BANDS,
 2e-8 at a similarity of 0.85, and is lost to the sketch with less than 1e-9.
 
 Defined results: null and wordless texts have an empty set and are linked with
-nothing; fewer words than a shingle make one shingle; rows that share a doc_id
-are one document; null ids sort after all others and are reported as null;
-other columns are ignored; an empty table gives an empty table.
+nothing; fewer words than a shingle make one shingle; every row is a document of
+its own, also where rows share a doc_id or have none; a component is named by
+its smallest id, and is null where none of its rows has one; other columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,17 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import materialise, text_columns
+from ._store import finished, materialise, scratch, text_columns
 from ._words import as_binary, buffer_of, mix, polynomial_hashes, slices, window_hashes, word_bounds
 
 WORDS, BANDS, ROWS = 5, 24, 4
 #: Bits of an Odd Sketch, kept as 64-bit integers.
 SKETCH = 512
-_LAST = (1 << 63) - 1
 _BLOCK = 1024
 
 
@@ -97,12 +98,13 @@ def _features(words: int, bands: int, rows: int, sketch: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, n),
+                        batch.column(2).slice(at, n),
                         pa.array(nodes, pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel())),
                     ],
-                    names=["id", "node", "n", "bands", "sketch"],
+                    names=["doc_id", "text_key", "node", "n", "bands", "sketch"],
                 )
 
     return run
@@ -120,16 +122,22 @@ def _apart(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: components of links with ``100 * intersection >= percent * union``."""
-    source = text_columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
+def _text_key() -> Column:
+    """What tells rows with one id apart, for finding their texts again."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """``doc_id, text_key, n, component`` of every row."""
+    source = text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key().alias("text_key"))
     longs = SKETCH // 64
     far = _far(SKETCH, bands * rows, percent)
-    features = materialise(source.mapInArrow(_features(words, bands, rows, SKETCH), "id bigint, node binary, n bigint, bands array<bigint>, sketch array<bigint>"), "sketches")
+    sketched = source.mapInArrow(_features(words, bands, rows, SKETCH), "doc_id bigint, text_key bigint, node binary, n bigint, bands array<bigint>, sketch array<bigint>")
+    features = materialise(sketched.withColumn("id", F.monotonically_increasing_id()), "sketches")
     filled = features.filter("n > 0")
-    # Equal sets: one representative each.  The id in the key spreads a hot set's rows.
-    nodes = materialise(filled.groupBy("node").agg(F.min("id").alias("rep"), F.max("id").alias("most")), "nodes")
-    reps = materialise(filled.join(nodes.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").select("id", "n", "bands", "sketch"), "reps")
+    # Equal sets: one representative each.  The row number in the key spreads a hot set's rows.
+    nodes = materialise(filled.groupBy("node").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")), "nodes")
+    reps = materialise(filled.join(nodes.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").select("id", "doc_id", "text_key", "n", "bands", "sketch"), "reps")
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     sizes = materialise(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "bucket-sizes")
     shared = materialise(buckets.join(sizes, "bucket"), "shared")
@@ -151,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, band
     )
 
     # Full sets of the documents that share a bucket with another.
-    needed = materialise(shared.select("id").distinct(), "needed")
+    needed = materialise(reps.select("id", "doc_id", "text_key").join(shared.select("id").distinct(), "id", "left_semi"), "needed")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +168,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, band
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], names=["id", "shingles"])
 
-    sets = materialise(source.join(needed, "id", "left_semi").mapInArrow(full_sets, "id bigint, shingles array<bigint>"), "sets")
+    texts = source.join(needed.withColumnRenamed("doc_id", "own"), (source["text_key"] == needed["text_key"]) & source["doc_id"].eqNullSafe(F.col("own"))).select("id", "text")
+    sets = materialise(texts.mapInArrow(full_sets, "id bigint, shingles array<bigint>"), "sets")
+    if sets.count() > needed.count():  # rows repeated with id and text
+        sets = materialise(sets.dropDuplicates(["id"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         joined = pairs.select("a", "b").join(sets.withColumnsRenamed({"id": "a", "shingles": "xa"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "xb"}), "b")
@@ -187,34 +198,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, band
     # Buckets with several components: what hubs did not show.
     within = materialise(shared.select("id", "bucket").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("label", F.xxhash64("id")).alias("label")), "within")
 
-    def mixed(rows: DataFrame, *more: Column) -> DataFrame:
-        found = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), *more)
-        return materialise(found.filter("x != y").drop("x", "y"), "mixed")
-
-    members = materialise(within.join(mixed(within), "bucket", "left_semi"), "members")
-    # A shingle that no other member has is in no intersection: it bounds what a member can reach with anyone.
-    own = sets.join(materialise(members.select("id").distinct(), "member-ids"), "id", "left_semi").select("id", F.explode("shingles").alias("shingle"))
-    alone = own.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    reach = materialise(members.join(reps.select("id", "n", "sketch", "bands"), "id").join(materialise(alone, "alone"), "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"), "reach")
-    smallest_in = materialise(reach.groupBy("bucket").agg(F.min("n").alias("least_n")), "smallest-sets")
-    able = materialise(reach.join(smallest_in, "bucket").filter(f"100 * common >= {percent} * (n + least_n - common)").drop("least_n"), "able")
-    able = materialise(able.join(mixed(able), "bucket", "left_semi"), "able")
-    able = able.join(sets, "id")
-    left = able.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "sketch": "sa", "bands": "ba", "common": "ca", "shingles": "xa"})
-    right = able.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "sketch": "sb", "bands": "bb", "common": "cb", "shingles": "xb"})
-    enough = F.expr(f"100 * least(ca, cb) >= {percent} * (na + nb - least(ca, cb))")
-    first_shared = F.array_intersect("ba", "bb")[0] == left["bucket"]  # a pair is looked at in one bucket only
-    linked = (100 + percent) * F.size(F.array_intersect("xa", "xb")) >= percent * (F.col("na") + F.col("nb"))
-    across = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("la") < F.col("lb")) & similar_size & enough & (_apart("sa", "sb", longs) <= far) & first_shared & linked)
-    labels = components(materialise(across.select("a", "b"), "links"), labels)
+    mixed = within.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
+    members = materialise(within.join(materialise(mixed, "mixed"), "bucket", "left_semi").select("id", "label").distinct(), "members")
+    flat = materialise(sets.join(members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "member-shingles")
+    common = materialise(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("shingle", "often"), "common-shingles")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(0)), "shingle"))
+    first = flat.join(common, "shingle", "left").withColumn("place", place).filter(f"often is not null and place <= n - ({percent} * n + 99) div 100 + 1")
+    prefixes = materialise(first.select("id", "label", "n", "shingle", "place").join(reps.select("id", "sketch"), "id"), "prefixes")
+    left = prefixes.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "place": "pa", "sketch": "sa"})
+    right = prefixes.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "place": "pb", "sketch": "sb"})
+    room = F.expr(f"1 + least(na - pa, nb - pb) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    across = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("la") < F.col("lb")) & similar_size & room & (_apart("sa", "sb", longs) <= far))
+    labels = components(materialise(confirmed(materialise(across.select("a", "b").distinct(), "across")), "links"), labels)
 
     # Every node's component, then every row's.
-    smallest = materialise(labels.groupBy("label").agg(F.min("node").alias("component")), "smallest")
-    of_node = materialise(labels.join(smallest, "label").select(F.col("node").alias("rep"), "component"), "of-node")
-    several = nodes.join(of_node, "rep", "left").filter("component is not null or rep != most").select("node", F.coalesce("component", "rep").alias("component"))
-    placed = features.join(materialise(several, "several"), "node", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    known = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return placed.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+    known = nodes.select(F.col("rep").alias("node"), "least")
+    smallest = materialise(labels.join(known, "node").groupBy("label").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("linked")), "smallest")
+    of_node = materialise(labels.join(smallest, "label").select(F.col("node").alias("rep"), "component", "linked"), "of-node")
+    several = nodes.join(of_node, "rep", "left").filter("linked > 1 or members > 1").select("node", F.when(F.col("linked") > 1, F.col("component")).otherwise(F.col("least")).alias("component"), F.lit(True).alias("several"))
+    placed = features.join(materialise(several, "several"), "node", "left")
+    return placed.select("doc_id", "text_key", "n", F.when(F.col("several"), F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: components of links with ``100 * intersection >= percent * union``."""
+    with scratch(docs.sparkSession):
+        found = _labelled(docs, words, percent, bands, rows)
+        return finished(found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "near-duplicates")
 
 
 def op2_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:
@@ -224,9 +234,12 @@ def op2_odd_sketch_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85, bands: int = BANDS) -> DataFrame:
-    """The input's rows, all columns, without those whose component has a smaller id; rows without an id stay."""
-    drop = near_duplicates(docs, percent=percent, bands=bands).filter("not (doc_id <=> component_id)").select("doc_id")
-    return docs.join(materialise(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """The input's rows, all columns, without those whose component is named by another id; components without any id stay whole."""
+    with scratch(docs.sparkSession):
+        found = _labelled(docs, WORDS, percent, bands, ROWS).filter("not (doc_id <=> component)")
+        drop = finished(found.select(F.col("doc_id").alias("__gl_id"), F.col("text_key").alias("__gl_key")).distinct(), "dropped")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__gl_id"))
+    return docs.join(drop, (_text_key() == F.col("__gl_key")) & own, "left_anti").select(*docs.columns)
 
 
 OP2_SQL = r"""

@@ -33,7 +33,7 @@ def test_index_outlives_batches(spark, odd):
             own[r.text_sha256].append(r.doc_id)
         for r in rows:
             assert r.keep_id == seen.get(r.text_sha256, max(own[r.text_sha256]))
-            assert r.kept == (r.text_sha256 not in seen and r.doc_id == r.keep_id)
+            assert r.kept == (r.doc_id == r.keep_id)  # the indexed document itself stays, however often it comes
         for d, ids in own.items():
             seen.setdefault(d, max(ids))
     index = exact_dedup.DigestIndex(spark, path)
@@ -42,6 +42,24 @@ def test_index_outlives_batches(spark, odd):
     assert "hashpartitioning" not in plan  # buckets are used
 
 
+def test_batch_twice(spark, odd):
+    path = new_path(spark, "index")
+    first = sorted(exact_dedup.exact_dedup(odd, path).collect())
+    size = exact_dedup.DigestIndex(spark, path).table().count()
+    assert sorted(exact_dedup.exact_dedup(odd, path).collect()) == first
+    assert exact_dedup.DigestIndex(spark, path).table().count() == size
+    kept = sorted(r.doc_id for r in exact_dedup.keep_first(odd, path).collect())
+    assert kept == sorted(r.doc_id for r in first if r.kept)
+
+
+def test_old_and_new_in_one_batch(spark):
+    path = new_path(spark, "index")
+    schema = "doc_id long, text string"
+    exact_dedup.exact_dedup(spark.createDataFrame([(5, "a"), (6, "b")], schema), path).count()
+    rows = exact_dedup.exact_dedup(spark.createDataFrame([(7, "a"), (8, "c"), (9, "c"), (None, "b")], schema), path).collect()
+    assert sorted((r.doc_id or 0, r.keep_id, r.kept) for r in rows) == [(0, 6, False), (7, 5, False), (8, 9, False), (9, 9, True)]
+
+
 def test_keep_first(with_repeats, nothing):
     kept = exact_dedup.keep_first(with_repeats)
     assert kept.columns == with_repeats.columns
@@ -103,3 +121,33 @@ def test_near_repeats_and_empty(spark, with_repeats, nothing):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
     assert odd_sketch_dedup.near_duplicates(nothing).count() == 0
     assert odd_sketch_dedup.keep_one(with_repeats).columns == SCHEMA.names
+
+
+def test_many_rows_without_id(spark):
+    """Rows without an id are documents of their own: only like texts are linked."""
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda i: " ".join(words[40 * i : 40 * i + 40])
+    rows = [(None, text(i % 50)) for i in range(2000)] + [(5, text(3)), (6, text(60)), (6, text(61)), (2, text(61))]
+    got = odd_sketch_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    from collections import Counter
+
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(None, None): 1960, (None, 5): 40, (5, 5): 1, (6, 6): 1, (6, 2): 1, (2, 2): 1}
+    kept = odd_sketch_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 1960 + 3 and {r.doc_id for r in kept} == {None, 5, 6, 2}
+
+
+def test_large_template_with_edits(spark):
+    """A template with edits from a few variants, in its common part: components as by brute force."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 3, 5, 9])):
+            w[at] = f"v{at}x{rng.randrange(3)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in odd_sketch_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
