@@ -18,10 +18,10 @@ level repeats when its smallest and its largest (document, position) differ, so
 counting is two partial aggregates, however often a passage occurs.
 
 Defined results: null and wordless texts have no words and nothing removed;
-texts shorter than the window lose nothing; rows with equal ``doc_id`` and
-words are separate occurrences of the same passage; null ids are kept; rows
-with one id but different words are told apart by their words; other columns
-are ignored; an empty table gives an empty table.
+texts shorter than the window lose nothing; every row is a document of its own,
+also where rows share a ``doc_id`` or have none, and repeated rows are separate
+occurrences of the same passage; other columns are ignored; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,11 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import ragged
-from ._store import materialise, text_columns
+from ._store import finished, materialise, scratch, text_columns
 from ._words import as_binary, buffer_of, polynomial_hashes, sequence_keys, slices, window_hashes, word_bounds
 
 WINDOW = 35
-_LAST = (1 << 63) - 1
 
 
 def lengths(window: int) -> tuple[int, int]:
@@ -81,7 +80,7 @@ def _lists(offsets: np.ndarray, values: np.ndarray, kind) -> pa.Array:
 
 
 def _first_pass(window: int):
-    """Per row: id, class key, number of words, digest of all words, and the anchors with their hashes."""
+    """Per row: id, key of the text, class key, number of words, digest of all words, and the anchors with their hashes."""
     short_k, _ = lengths(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +93,8 @@ def _first_pass(window: int):
                 row = np.searchsorted(edge, spots, side="right") - 1
                 offsets = np.searchsorted(spots, edge)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(sequence_keys(h, edge), pa.binary()), pa.array(np.diff(edge)), pa.array(whole), _lists(offsets, spots - edge[row], np.int32), _lists(offsets, short[spots], np.int64)],
-                    names=["id", "seq", "n_words", "words_sha256", "place", "first"],
+                    [batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(sequence_keys(h, edge), pa.binary()), pa.array(np.diff(edge)), pa.array(whole), _lists(offsets, spots - edge[row], np.int32), _lists(offsets, short[spots], np.int64)],
+                    names=["doc_id", "text_key", "seq", "n_words", "words_sha256", "place", "first"],
                 )
 
     return run
@@ -108,7 +107,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]):
         for at, n, raw, starts, ends, h, edge in _rows_of(as_binary(batch.column(1))):
             own = sequence_keys(h, edge)
             for i in range(n):
-                if own[i] == keys[at + i]:  # else another text with the same id
+                if own[i] == keys[at + i]:  # else another text with the same id and key
                     lo, hi = int(edge[i]), int(edge[i + 1])
                     yield classes[at + i], raw, starts[lo:hi], ends[lo:hi], h[lo:hi], np.sort(lists[at + i].values.to_numpy(zero_copy_only=False).astype(np.int64))
 
@@ -176,49 +175,73 @@ def _repeated(rows: DataFrame, key: str, place: str) -> DataFrame:
     return found.filter("least < 0 or lo != hi").select(key)
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The rows (``id, seq, n_words, words_sha256``) and what their classes lose (``seq, several, n_removed, kept``).
-
-    Only classes that lose something, or have several texts, are in the second
-    table.  A class of several texts with at least ``window`` words loses all.
-    """
-    source = text_columns(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), "text")
-    rows = materialise(source.mapInArrow(_first_pass(window), "id bigint, seq binary, n_words bigint, words_sha256 string, place array<int>, first array<bigint>"), "anchors")
-    grouped = rows.groupBy("seq").agg(F.min("id").alias("id"), (F.count(F.lit(1)) > 1).alias("several"), F.max("n_words").alias("n_words"))
+def _passages(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (``doc_id, seq, n_words, words_sha256``) and what their classes lose (``seq, several, n_removed, kept``)."""
+    spark = docs.sparkSession
+    source = text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    rows = materialise(source.mapInArrow(_first_pass(window), "doc_id bigint, text_key bigint, seq binary, n_words bigint, words_sha256 string, place array<int>, first array<bigint>"), "anchors")
+    # One text stands for a class; where the very row is repeated, that text is found several times.
+    one = F.struct("doc_id", "text_key")
+    grouped = rows.groupBy("seq").agg(F.min(one).alias("one"), (F.count(F.lit(1)) > 1).alias("several"), F.max("n_words").alias("n_words"))
     number = F.monotonically_increasing_id() + 1
-    classes = materialise(grouped.withColumn("cls", F.when(F.col("several"), -number).otherwise(number)), "classes")
-    # Level 1: anchors of one text of each class.
-    ones = rows.filter(F.size("place") > 0).select("id", "seq", "place", "first").join(classes.select("id", "seq", "cls"), ["id", "seq"])
-    anchors = materialise(ones.select("cls", F.explode(F.arrays_zip("place", "first")).alias("x")).select("cls", "x.place", "x.first"), "level-1")
-    one = materialise(_repeated(anchors, "first", "place"), "repeated-1")
-    live = anchors.join(one, "first", "left_semi").groupBy("cls").agg(F.collect_set("place").alias("live"))
-    found = materialise(live.join(classes.select("cls", "id", "seq"), "cls"), "live-1")
+    classes = materialise(grouped.select("seq", "several", "n_words", F.col("one.doc_id").alias("own"), F.col("one.text_key").alias("key"), F.when(F.col("several"), -number).otherwise(number).alias("cls")), "classes")
+
+    def of_class(found: DataFrame, where: DataFrame) -> DataFrame:
+        """Rows of ``where`` that stand for the classes in ``found``."""
+        return where.join(found, (where["text_key"] == found["key"]) & where["doc_id"].eqNullSafe(found["own"]))
+
+    with scratch(spark):
+        # Level 1: anchors of one text of each class.
+        ones = of_class(classes.select("own", "key", "cls", F.col("seq").alias("its")), rows.filter(F.size("place") > 0)).filter("seq = its")
+        anchors = materialise(ones.select("cls", F.explode(F.arrays_zip("place", "first")).alias("x")).select("cls", "x.place", "x.first"), "level-1")
+        once = materialise(_repeated(anchors, "first", "place"), "repeated-1")
+        live = anchors.join(once, "first", "left_semi").groupBy("cls").agg(F.collect_set("place").alias("live"))
+        found = finished(live.join(classes.select("cls", "own", "key", "seq"), "cls"), "live-1")
     # From here on only the texts that still have candidates are read.
-    texts = materialise(source.join(found, "id").select("cls", "text", "seq", "live"), "candidates")
-    halves = texts.mapInArrow(_second_pass(window), "cls bigint, live array<int>, half array<bigint>")
-    halves = materialise(halves.select("cls", F.explode(F.arrays_zip("live", "half")).alias("x")).select("cls", "x.live", "x.half"), "level-2")
-    two = materialise(_repeated(halves, "half", "live"), "repeated-2")
-    live = materialise(halves.join(two, "half", "left_semi").groupBy("cls").agg(F.collect_set("live").alias("live")), "live-2")
-    spans = texts.select("cls", "text", "seq").join(live, "cls").mapInArrow(_third_pass(window), "cls bigint, begin array<int>, hash array<bigint>")
-    spans = materialise(spans.select("cls", F.explode(F.arrays_zip("begin", "hash")).alias("x")).select("cls", "x.begin", "x.hash"), "level-3")
-    three = materialise(_repeated(spans, "hash", "begin"), "repeated-3")
-    begins = materialise(spans.filter("cls > 0").join(three, "hash", "left_semi").groupBy("cls").agg(F.collect_set("begin").alias("begin")), "begins")
+    texts = materialise(of_class(found, source).select("cls", "text", "seq", "live"), "candidates")
+    if texts.count() > found.count():  # rows repeated with id and text
+        texts = materialise(texts.dropDuplicates(["cls"]), "candidates")
+    with scratch(spark):
+        halves = texts.mapInArrow(_second_pass(window), "cls bigint, live array<int>, half array<bigint>")
+        halves = materialise(halves.select("cls", F.explode(F.arrays_zip("live", "half")).alias("x")).select("cls", "x.live", "x.half"), "level-2")
+        two = materialise(_repeated(halves, "half", "live"), "repeated-2")
+        live = finished(halves.join(two, "half", "left_semi").groupBy("cls").agg(F.collect_set("live").alias("live")), "live-2")
+    with scratch(spark):
+        spans = texts.select("cls", "text", "seq").join(live, "cls").mapInArrow(_third_pass(window), "cls bigint, begin array<int>, hash array<bigint>")
+        spans = materialise(spans.select("cls", F.explode(F.arrays_zip("begin", "hash")).alias("x")).select("cls", "x.begin", "x.hash"), "level-3")
+        three = materialise(_repeated(spans, "hash", "begin"), "repeated-3")
+        begins = finished(spans.filter("cls > 0").join(three, "hash", "left_semi").groupBy("cls").agg(F.collect_set("begin").alias("begin")), "begins")
     cut = texts.filter("cls > 0").select("cls", "text", "seq").join(begins, "cls").mapInArrow(_cut(window), "cls bigint, n_removed bigint, kept string")
     partly = classes.select("cls", "seq").join(cut, "cls").select("seq", F.lit(False).alias("several"), "n_removed", "kept")
     wholly = classes.filter(F.col("several") & (F.col("n_words") >= window)).select("seq", "several", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
-    return rows.select("id", "seq", "n_words", "words_sha256"), partly.unionByName(wholly)
+    return rows.select("doc_id", "seq", "n_words", "words_sha256"), partly.unionByName(wholly)
+
+
+def repeated_passages(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The rows (``doc_id, seq, n_words, words_sha256``) and what their classes lose (``seq, several, n_removed, kept``).
+
+    Only classes that lose something are in the second table.  A class of
+    several texts with at least ``window`` words loses all.
+    """
+    with scratch(docs.sparkSession):
+        rows, cut = _passages(docs, window)
+        return finished(rows, "passage-rows"), finished(cut, "passage-cuts")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``; the digest is of the kept words joined by single spaces."""
-    rows, cut = repeated_passages(docs, window)
-    cut = materialise(cut.select("seq", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
-    return rows.join(cut, "seq", "left").select(
-        F.when(F.col("id") != _LAST, F.col("id")).alias("doc_id"),
-        "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"),
-    )
+    with scratch(docs.sparkSession):
+        rows, cut = _passages(docs, window)
+        cut = materialise(cut.select("seq", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
+        return finished(
+            rows.join(cut, "seq", "left").select(
+                "doc_id",
+                "n_words",
+                F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+                F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"),
+            ),
+            "kept",
+        )
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

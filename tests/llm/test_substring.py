@@ -6,7 +6,7 @@ from collections import Counter
 
 from gravelake.llm import substring_dedup
 
-from .conftest import odd_rows
+from .conftest import odd_rows, sentence
 
 
 def brute_force(rows, window=35):
@@ -60,3 +60,15 @@ def test_repeats_and_empty(spark, with_repeats, nothing):
     same = spark.createDataFrame([(1, "z " * 40), (1, "z " * 40), (1, "y " * 3), (None, "z " * 40)], "doc_id long, text string")
     assert sorted((r.n_words, r.n_removed) for r in substring_dedup.remove_repeated(same).collect()) == [(3, 0), (40, 40), (40, 40), (40, 40)]
     assert substring_dedup.remove_repeated(nothing).count() == 0
+
+
+def test_many_rows_without_id(spark):
+    """Thousands of rows without an id, copies among them: each is looked up by its own text."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [sentence(rng, 20, 10**6) + (" " + passage if i % 40 == 0 else "") for i in range(2000)] + [passage + " end"] * 1000
+    rows = [(None, t) for t in texts] + [(1, texts[0]), (1, texts[40]), (1, texts[41])]
+    got = substring_dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_force(list(enumerate(t for _, t in rows)))
+    assert Counter((r.n_words, r.n_removed, r.kept_sha256) for r in got) == Counter(want.values())
+    assert sorted((r.n_words, r.n_removed) for r in got if r.doc_id == 1) == sorted(want[3000 + i][:2] for i in range(3))
