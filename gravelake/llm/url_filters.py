@@ -63,10 +63,10 @@ def match(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: st
     made = ["host", "n_active", "pattern", "blocked"]
     rest = [c for c in captures.columns if c not in made]
     rows = captures.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("__path"), F.col(fetched).alias("__fetched"))
-    rows = rows.withColumn("__keys", F.array_join(keys_of(F.col("host"), F.col("__path")), "\n")).drop("__path")
+    rows = rows.withColumn("__keys", keys_of(F.col("host"), F.col("__path"))).drop("__path")
     rows = materialise(rows, "captures")
-    looked = rows.filter("`__keys` != '' and `__fetched` is not null").select("__keys", "__fetched").distinct()
-    looked = materialise(looked.select("__keys", "__fetched", F.explode(F.split("__keys", "\n")).alias("pattern")), "lookups")
+    looked = rows.filter("size(`__keys`) > 0 and `__fetched` is not null").select("__keys", "__fetched").distinct()
+    looked = materialise(looked.select("__keys", "__fetched", F.explode("__keys").alias("pattern")), "lookups")
     listed = materialise(intervals(changes), "intervals")
     active = looked.join(listed, "pattern").filter("`__fetched` >= valid_from and (valid_to is null or `__fetched` < valid_to)")
     found = active.groupBy("__keys", "__fetched").agg(F.count(F.lit(1)).alias("n_active"), F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern").alias("p"))).alias("x"))

@@ -49,10 +49,10 @@ def test_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, day(3)), (2, "not a url", day(3)), (3, "http://example.com", None), (4, "http://example.com", day(3)), (4, "http://example.com", day(3)), (5, "ftp://localhost/x", day(3)), (6, "http://" + "a." * 80 + "example.com/" + "s/" * 300, day(3))], "id long, url string, fetched_on date")
+    df = spark.createDataFrame([(1, None, day(3)), (2, "not a url", day(3)), (3, "http://example.com", None), (4, "http://example.com", day(3)), (4, "http://example.com", day(3)), (5, "ftp://localhost/x", day(3)), (6, "http://" + "a." * 80 + "example.com/" + "s/" * 300, day(3)), (7, "http://other.org/x\nexample.com", day(3))], "id long, url string, fetched_on date")
     listed = spark.createDataFrame([("example.com", day(1), "add")], "pattern string, changed_on date, action string")
     got = sorted((r.id, r.blocked) for r in u.match(df, listed).collect())
-    assert got == [(1, False), (2, False), (3, False), (4, True), (4, True), (5, False), (6, True)]
+    assert got == [(1, False), (2, False), (3, False), (4, True), (4, True), (5, False), (6, True), (7, False)]
     assert not any(r.blocked for r in u.match(df, listed.limit(0)).collect())
     assert u.match(df.limit(0), listed).count() == 0
 
