@@ -310,6 +310,16 @@ class ChunkTable:
         self._put(h, begin + self._filled, total[edge] - begin)
         self._filled += len(ids)
 
+    def lengths(self, chunks: Sequence[bytes]) -> np.ndarray:
+        """Number of tokens of each of these different chunks, at most ``limit`` of them."""
+        if not len(chunks):
+            return np.zeros(0, np.int64)
+        blob, ends = np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([len(c) for c in chunks], dtype=np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        h = polynomial_hashes(blob, starts, ends)
+        self._learn(blob, h, starts, ends)
+        return self._count[self._find(h)]
+
     def _entries(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry of each chunk of a slice, and the chunk index where each row begins (n+1)."""
         starts = self.cuts(raw, offs)

@@ -2,9 +2,10 @@
 
 Tier one is a compact hash table, made once and broadcast: 64-bit hashes and
 token counts of the ``hot`` most frequent pre-token chunks of the whole corpus.
-They are found by summaries inside the map tasks (at most ``SUMMARY`` chunks
-leave a task), so pre-tokens are never shuffled.  Tier two is each worker's own
-bounded table; what it lacks is encoded there and then.
+Map tasks count their chunks and encode the ``SUMMARY`` most frequent ones; only
+(hash, length, count) of those leave a task, 20 bytes each, so pre-tokens are
+never shuffled or gathered.  Tier two is each worker's own bounded table; what
+it lacks is encoded there and then.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); rows are
 independent, so repeated rows and ids give repeated results; other columns are
@@ -41,8 +42,8 @@ def read_vocabulary(path: str | None) -> bytes:
         return f.read()
 
 
-def frequent_chunks(docs: DataFrame, vocab, hot: int = HOT) -> DataFrame:
-    """``chunk, n``: the most frequent chunks over all texts, from summaries of every task."""
+def frequent_lengths(docs: DataFrame, vocab, hot: int = HOT) -> DataFrame:
+    """``hash, length``: the most frequent chunks over all texts and their numbers of tokens, from summaries of every task."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bpe.ChunkTable(_bpe.vocabulary(vocab.value), limit=2)
@@ -70,24 +71,19 @@ def frequent_chunks(docs: DataFrame, vocab, hot: int = HOT) -> DataFrame:
                     top = np.sort(np.argpartition(-counts, KEPT)[:KEPT])
                     hashes, counts, chunks = hashes[top], counts[top], chunks[top]
         top = np.argsort(-counts, kind="stable")[:SUMMARY]
-        yield pa.RecordBatch.from_arrays([pa.array(list(chunks[top]), pa.binary()), pa.array(counts[top], pa.int64())], names=["chunk", "n"])
+        lengths = _bpe.ChunkTable(table.vocab, limit=SUMMARY).lengths(list(chunks[top]))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(lengths, pa.int32()), pa.array(counts[top], pa.int64())], names=["hash", "length", "n"])
 
-    parts = text_columns(docs, "text").mapInArrow(summarise, "chunk binary, n bigint")
-    return parts.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(hot)
+    parts = text_columns(docs, "text").mapInArrow(summarise, "hash bigint, length int, n bigint")
+    return parts.groupBy("hash").agg(F.max("length").alias("length"), F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(hot).select("hash", "length")
 
 
 def token_counts(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` of every whole text; ``path``: a byte-level BPE ``tokenizer.json``."""
     sc, content = docs.sparkSession.sparkContext, read_vocabulary(path)
     vocab = sc.broadcast(content)
-    chunks = [bytes(r.chunk) for r in frequent_chunks(docs, vocab, hot).collect()]  # at most ``hot`` rows of LONGEST bytes
-    table = _bpe.ChunkTable(_bpe.vocabulary(content), limit=max(2, 2 * len(chunks)))
-    blob, ends = np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([len(c) for c in chunks], dtype=np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(chunks)]
-    h = polynomial_hashes(blob, starts, ends)
-    if len(chunks):
-        table._learn(blob, h, starts, ends)
-    lengths = sc.broadcast((h, table._count[table._find(h)].astype(np.uint16)))
+    top = frequent_lengths(docs, vocab, hot).toArrow()  # at most ``hot`` rows of 12 bytes
+    lengths = sc.broadcast((top["hash"].to_numpy().view(np.uint64), top["length"].to_numpy().astype(np.uint16)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _bpe.worker_table(vocab.value, hot=lengths.value)

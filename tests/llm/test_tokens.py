@@ -90,6 +90,20 @@ def test_packing(odd, wanted):
     check_pieces(hilbert_packing.pack_documents(odd).collect(), wanted)
 
 
+def test_pieces_follow_the_curve(spark, odd, wanted):
+    """Sequences in order hold documents in the order of (Hilbert key, id), whatever the partitions."""
+    rows = sorted(hilbert_packing.pack_documents(odd).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = list(dict.fromkeys(r.doc_id for r in rows))
+    ids = {d: np.array([*wanted[d], 1], np.uint32) for d in wanted}
+    keys = {d: int(hilbert_packing.document_keys(x, np.array([0, len(x)]))[0]) for d, x in ids.items()}
+    assert order == sorted(wanted, key=lambda d: (keys[d], d))
+    for d in (0, 5, 20):  # a key by hand: signed sums of hashed ids, cut and scaled
+        signs = np.random.default_rng(7).choice([-1, 1], (hilbert_packing.DIMS, hilbert_packing.BUCKETS))
+        mean = [np.mean([signs[k][(int(i) * 2654435761 >> 7) % hilbert_packing.BUCKETS] for i in ids[d]]) for k in range(hilbert_packing.DIMS)]
+        cell = [min(max(int((m + 0.25) / 0.5 * 4096), 0), 4095) for m in mean]
+        assert keys[d] == hilbert_packing.hilbert_keys(np.array([cell]), 12)[0]
+
+
 def test_neighbours_on_the_curve():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = hilbert_packing.hilbert_keys(cells, 3)
