@@ -12,14 +12,18 @@ the features; candidates that it accepts are added to the base spans.
 Defined results: null text counts as empty (no spans); an added span never
 overlaps a base span or an earlier added one; rows are independent; other
 columns are ignored by ``find_spans`` and kept by ``mask``; an empty table
-gives an empty table and a model that accepts nothing.
+gives an empty table and a model that accepts nothing.  Work is linear in a
+text's length, also for long runs of letters or digits: addresses are looked
+for outward from each ``@``, numbers with dots by whole chains of digits.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,9 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "written_email", "local_phone", "account", "name")
 KINDS = BASE + ADDED
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -42,7 +47,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 
 #: Looser patterns for the further kinds; each is looked for only in texts that hold what it must contain.
 SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])")
-WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]+)+", re.I)
+WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?: ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z0-9-]+)+", re.I)
 LOCAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 ACCOUNT = re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9,19})(?![0-9A-Za-z])")
 NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Madame|Monsieur)\.? [A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?|\b(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) [A-Z][a-zà-ÿ]+(?: [A-Z][a-zà-ÿ]+)?")
@@ -78,14 +83,43 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, leftmost and non-overlapping.  Neither side of an ``@`` can hold another, so each one is tried once, with all of its left side that no earlier address took."""
+    taken, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > taken and text[start - 1] in _LOCAL_PART:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            taken = host.end()
+            yield start, taken
+        else:
+            taken = max(taken, at + 1)
+        at = text.find("@", taken)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Four numbers joined by dots, leftmost and non-overlapping: chains are taken whole and dealt out by fours; those with a part over 255 are dropped."""
+    for chain in _CHAIN.finditer(text):
+        parts = chain[0].split(".")
+        start = chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(v) <= 3 and int(v or 0) <= 255 for v in (p.lstrip("0") for p in four)):
+                yield start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of the base kinds, sorted."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(a, 1, b) for a, b in addresses(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = _NOT_DIGIT.sub("", m[0])
@@ -146,9 +180,11 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     if any(w in text for w in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Madame", "Monsieur", "name is", "heiße", "appelle", "llamo")):
         found += [(m.start(), 4, m.end()) for m in NAME.finditer(text)]
     out, last = [], -1
-    busy = [(s, e) for s, _, e in taken]
+    begins = [s for s, *_ in taken]  # ascending
+    reach = list(accumulate((e for *_, e in taken), max))
     for start, kind, end in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
-        if start >= last and not any(s < end and start < e for s, e in busy):
+        before = bisect_left(begins, end)
+        if start >= last and not (before and reach[before - 1] > start):
             out.append((start, kind, end, pattern_code(kind, *_votes(ADDED[kind], text, start, end))))
             last = end
     return out
@@ -236,14 +272,33 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _accept(codes: tuple[int, ...]):
+    """Rows of ``detect`` with the accepted ones of ``more``, as spans, in ``added``."""
+    yes = np.array(codes, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = batch.column(2)
+            offsets = more.offsets.to_numpy()
+            inner = more.values
+            good = np.isin(inner.field("pattern").to_numpy(zero_copy_only=False), yes)
+            good[: offsets[0]] = good[offsets[-1] :] = False
+            kept = np.concatenate([[0], np.cumsum(good)])[offsets]
+            names = ("start", "kind", "end")
+            spans = pa.StructArray.from_arrays([inner.field(n).filter(pa.array(good)) for n in names], names=list(names))
+            added = pa.ListArray.from_arrays(pa.array(kept - kept[0], pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), added], names=["doc_id", "base", "added"])
+
+    return run
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_added``: spans as arrays of (start, kind, end), sorted."""
     found = materialise(detect(docs), "pii-spans")
-    accepted = fit(found).accepted
-    yes = F.array(*[F.lit(c) for c in accepted]).cast("array<int>")
-    added = F.transform(F.filter("more", lambda m: F.array_contains(yes, m["pattern"])), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    schema = T.StructType([found.schema["doc_id"], found.schema["base"], T.StructField("added", T.ArrayType(_SPAN))])
+    judged = found.mapInArrow(_accept(tuple(fit(found).accepted)), schema)
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(BASE)], "base", F.array_sort(F.concat("base", added)).alias("spans"), F.size(added).cast("long").alias("n_added"))
+    return judged.select("doc_id", *[number(i).alias(f"n_{k}") for i, k in enumerate(BASE)], "base", F.array_sort(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 @lru_cache(maxsize=2)
