@@ -7,7 +7,7 @@ compressed density begins at bit 49; light-cone flags begin at bit 61.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELD = 0x7FFF
@@ -94,3 +94,20 @@ def pack_density(aux: Column, density: Column, unit: float) -> Column:
 def unpack_density(aux: Column, unit: float) -> Column:
     root = F.shiftrightunsigned(aux, DENSITY_SHIFT).bitwiseAND(F.lit((1 << DENSITY_BITS) - 1)).cast("double")
     return root * root * unit
+
+
+def taggable_field(particles: DataFrame, aux: str = "aux") -> DataFrame:
+    """Particles of either taggable subsample that are in no large-scale group."""
+    flags = F.col(aux)
+    return particles.filter((test_flag(flags, "taggable_A") | test_flag(flags, "taggable_B")) & ~test_flag(flags, "L0"))
+
+
+def swap_bytes(word: Column, size: int) -> Column:
+    """The bytes of a word of 4 (as an unsigned number) or 8 bytes in the other order."""
+    if size not in (4, 8):
+        raise ValueError("words have 4 or 8 bytes")
+    digits = F.lpad(F.hex(word.cast("long") if size == 8 else word.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 2 * size, "0")
+    turned = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+    # Halves, since a number of 64 bits need not fit a signed one.
+    high, low = (F.conv(F.substring(F.lpad(turned, 16, "0"), at, 8), 16, 10).cast("long") for at in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,6 +96,34 @@ def symmetric_eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Co
     return high, 3 * q - high - low, low
 
 
+def eigensystem(tensors: DataFrame, names: tuple[str, ...] = ("xx", "yy", "zz", "xy", "xz", "yz")) -> DataFrame:
+    """Symmetric 3 x 3 matrices with their eigenvalues ``e1 >= e2 >= e3`` and unit eigenvectors ``v11 .. v33`` (``v12``: y of the first).
+
+    An eigenvector is orthogonal to all rows of A - e: of the cross products of
+    its rows the longest is taken.  Where eigenvalues coincide axes stand in.
+    Steps are columns of their own, since expressions that nest would repeat
+    what they share.
+    """
+
+    def cross(a, b):
+        return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+    xx, yy, zz, xy, xz, yz = (F.col(n) for n in names)
+    out = tensors.withColumns({f"e{i + 1}": e for i, e in enumerate(symmetric_eigenvalues(xx, yy, zz, xy, xz, yz))})
+    scale = xx * xx + yy * yy + zz * zz + 2 * (xy * xy + xz * xz + yz * yz)
+    for i, instead in ((1, (1, 0, 0)), (3, (0, 0, 1))):
+        e = F.col(f"e{i}")
+        rows = ((xx - e, xy, xz), (xy, yy - e, yz), (xz, yz, zz - e))
+        out = out.withColumns({f"__{p}{k}": c for p, (m, n) in enumerate(((0, 1), (0, 2), (1, 2))) for k, c in enumerate(cross(rows[m], rows[n]))})
+        out = out.withColumns({f"__s{p}": sum((F.col(f"__{p}{k}") * F.col(f"__{p}{k}") for k in range(3)), F.lit(0.0)) for p in range(3)}).withColumn("__most", F.greatest("__s0", "__s1", "__s2"))
+        pick = lambda k: F.when(F.col("__s0") == F.col("__most"), F.col(f"__0{k}")).when(F.col("__s1") == F.col("__most"), F.col(f"__1{k}")).otherwise(F.col(f"__2{k}"))
+        found = F.col("__most") > 1e-24 * scale * scale
+        out = out.withColumns({f"v{i}{k + 1}": F.when(found, pick(k) / F.sqrt("__most")).otherwise(F.lit(float(instead[k]))) for k in range(3)})
+        out = out.drop("__most", *[f"__s{p}" for p in range(3)], *[f"__{p}{k}" for p in range(3) for k in range(3)])
+    third, first = ([F.col(f"v{i}{k + 1}") for k in range(3)] for i in (3, 1))
+    return out.withColumns({f"v2{k + 1}": c for k, c in enumerate(cross(third, first))})
+
+
 def lattice_offset(x: Column, site: Column, ppd: int, box: float = 1.0) -> Column:
     """Displacement of a coordinate from its lattice site, by the shortest image."""
     return minimum_image(x - (site / ppd - 0.5) * box, box)

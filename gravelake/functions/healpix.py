@@ -16,36 +16,33 @@ def _spread_bits(v: Column) -> Column:
 
 
 def nested_pixel(x: Column, y: Column, z: Column, nside: int) -> Column:
-    """Nested pixel of the direction (x, y, z); ``nside`` must be a power of two."""
+    """Nested pixel of the direction (x, y, z); ``nside`` must be a power of two.
+
+    The direction is projected to the plane in which the twelve base pixels are
+    squares on their corners: ``t`` and ``s`` count quarter turns along and half
+    squares across the equator (s = 3 cos / 4 on the belt; beyond it the
+    meridians of a quarter close in on the pole by ``q``).  Turned by an eighth,
+    squares lie between whole numbers of ``east = t + s`` and ``west = t - s``
+    (shifted by a half): those numbers name the base pixel, what is left of
+    them the place inside it.
+    """
     if nside & (nside - 1) or not 0 < nside <= 8192:
         raise ValueError("nside must be a power of two up to 8192")
     r = F.sqrt(x * x + y * y + z * z)
     cos = z / r
-    tall = F.abs(cos)
-    phi = F.atan2(y, x)
-    turn = F.when(phi < 0, phi + 2 * math.pi).otherwise(phi) / (math.pi / 2)
-    t = F.when(turn >= 4, F.lit(0.0)).otherwise(turn)
-    # Around the equator.
-    up = F.floor(nside * (0.5 + t) - nside * 0.75 * cos)
-    down = F.floor(nside * (0.5 + t) + nside * 0.75 * cos)
-    face_up, face_down = F.floor(up / nside), F.floor(down / nside)
-    belt_face = F.when(face_up == face_down, face_up.bitwiseOR(F.lit(4))).when(face_up < face_down, face_up).otherwise(face_down + 8)
-    belt_x = down.bitwiseAND(F.lit(nside - 1))
-    belt_y = nside - up.bitwiseAND(F.lit(nside - 1)) - 1
-    # Around the poles.
-    quarter = F.least(F.floor(t), F.lit(3))
-    part = t - quarter
-    reach = F.when(tall > 0.99, nside * F.sqrt(x * x + y * y) / r / F.sqrt((1 + tall) / 3)).otherwise(nside * F.sqrt(3 * (1 - tall)))
-    one = F.least(F.floor(part * reach), F.lit(nside - 1))
-    two = F.least(F.floor((1 - part) * reach), F.lit(nside - 1))
-    north = cos >= 0
-    cap_face = F.when(north, quarter).otherwise(quarter + 8)
-    cap_x = F.when(north, nside - two - 1).otherwise(one)
-    cap_y = F.when(north, nside - one - 1).otherwise(two)
-    belt = tall <= 2.0 / 3.0
-    face = F.when(belt, belt_face).otherwise(cap_face)
-    ix, iy = F.when(belt, belt_x).otherwise(cap_x), F.when(belt, belt_y).otherwise(cap_y)
-    return face * (nside * nside) + _spread_bits(ix) + F.shiftleft(_spread_bits(iy), 1)
+    turn = F.atan2(y, x) / (math.pi / 2)
+    turn = F.when(turn < 0, turn + 4).otherwise(turn)
+    turn = F.when(turn >= 4, F.lit(0.0)).otherwise(turn)
+    middle = F.floor(turn) + 0.5
+    belt = F.abs(cos) <= 2.0 / 3.0
+    q = F.greatest(F.sqrt(x * x + y * y) / r * F.sqrt(3 / (1 + F.abs(cos))), F.lit(1e-12))
+    t = F.when(belt, turn).otherwise(middle + q * (turn - middle))
+    s = F.when(belt, cos * 0.75).otherwise(F.signum(cos) * (1 - q / 2))
+    east, west = t + s + 0.5, t - s + 0.5
+    i, j = F.floor(east), F.floor(west)
+    face = F.when(i > j, F.pmod(j, F.lit(4))).when(i == j, F.pmod(i, F.lit(4)) + 4).otherwise(F.pmod(i, F.lit(4)) + 8)
+    inside = lambda v, whole: F.least(F.floor((v - whole) * nside), F.lit(nside - 1))
+    return face * (nside * nside) + _spread_bits(inside(east, i)) + F.shiftleft(_spread_bits(nside - 1 - inside(west, j)), 1)
 
 
 def coarser(pix: Column, factor: int) -> Column:

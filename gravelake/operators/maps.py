@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,23 +69,55 @@ def wedge_histogram(grid: DataFrame, edges: list[float], ells: list[int], box: f
 
 
 def tsc_grid(points: DataFrame, n: int, weight: Column | None = None, dims: int = 3) -> DataFrame:
-    """Triangular-cloud assignment of points of the unit box centred on 0 to an n**dims periodic grid: ``ix, iy[, iz], mass``."""
+    """Triangular-cloud assignment of points of the unit box centred on 0 to an n**dims periodic grid: ``ix, iy[, iz], mass``.
+
+    The weights for the 3**dims cells around are added up by the points' own
+    cell first, so that cells are copied and not points.
+    """
     axes = "xyz"[:dims]
     g = {c: (F.col(c) + 0.5) * n for c in axes}
     near = {c: F.floor(g[c] + 0.5) for c in axes}
-    rows = points.select(*[near[c].alias(f"i{c}") for c in axes], *[(g[c] - near[c]).alias(f"d{c}") for c in axes], (weight if weight is not None else F.lit(1.0)).alias("w"))
-    parts = []
-    for offsets in itertools.product((-1, 0, 1), repeat=dims):
+    rows = points.select(*[F.pmod(near[c], F.lit(n)).alias(f"i{c}") for c in axes], *[(g[c] - near[c]).alias(f"d{c}") for c in axes], (weight if weight is not None else F.lit(1.0)).alias("w"))
+    around = list(itertools.product((-1, 0, 1), repeat=dims))
+    sums = []
+    for k, offsets in enumerate(around):
         mass = F.col("w")
         for c, o in zip(axes, offsets, strict=True):
             mass = mass * tsc_weight(F.col(f"d{c}"), o)
-        parts.append(F.struct(*[F.pmod(F.col(f"i{c}") + o, F.lit(n)).alias(f"i{c}") for c, o in zip(axes, offsets, strict=True)], mass.alias("mass")))
-    spread = rows.select(F.explode(F.array(*parts)).alias("s"))
+        sums.append(F.sum(mass).alias(f"m{k}"))
+    cells = rows.groupBy(*[f"i{c}" for c in axes]).agg(*sums)
+    parts = [F.struct(*[F.pmod(F.col(f"i{c}") + o, F.lit(n)).alias(f"i{c}") for c, o in zip(axes, offsets, strict=True)], F.col(f"m{k}").alias("mass")) for k, offsets in enumerate(around)]
+    spread = cells.select(F.explode(F.array(*parts)).alias("s"))
     return spread.groupBy(*[F.col(f"s.i{c}").alias(f"i{c}") for c in axes]).agg(F.sum("s.mass").alias("mass"))
 
 
+def cylindrical_histogram(grid: DataFrame, across: list[float], along: list[float], value: str = "power") -> DataFrame:
+    """``bin_across, bin_along, n, mean`` of a grid ``kx, ky, kz`` by distance from the z axis and height, both in grid units."""
+    rho = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+    rows = grid.select(which_bin(rho, across).alias("bin_across"), which_bin(F.abs(F.col("kz")).cast("double"), along).alias("bin_along"), F.col(value).alias("v"))
+    return rows.filter("bin_across is not null and bin_along is not null").groupBy("bin_across", "bin_along").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+
+
+def exponents(order: int) -> list[tuple[int, int, int]]:
+    """(a, b, c) with a + b + c <= order; the place in the list is the linear index of a multipole."""
+    return [(a, b, c) for a in range(order + 1) for b in range(order + 1 - a) for c in range(order + 1 - a - b)]
+
+
+def taylor(points: DataFrame, coefficients: DataFrame, by: list[str], order: int) -> DataFrame:
+    """``points`` with ``value``: the sum of m{abc} x**a y**b z**c / (a! b! c!) with the coefficients of their cell; x, y, z relative to its centre."""
+    value = F.lit(0.0)
+    for a, b, c in exponents(order):
+        term = F.col(f"m{a}{b}{c}") / float(math.factorial(a) * math.factorial(b) * math.factorial(c))
+        for name, e in zip("xyz", (a, b, c), strict=True):
+            for _ in range(e):
+                term = term * F.col(name)
+        value = value + term
+    names = [f"m{a}{b}{c}" for a, b, c in exponents(order)]
+    return points.join(coefficients.select(*by, *names), by).withColumn("value", value).drop(*names)
+
+
 def multipoles(points: DataFrame, by: list[str], order: int) -> DataFrame:
     """Sums of x**a * y**b * z**c with a + b + c <= order, by group; x, y, z relative to the group's centre."""
-    powers = [(a, b, c) for a in range(order + 1) for b in range(order + 1 - a) for c in range(order + 1 - a - b)]
+    powers = exponents(order)
     term = lambda a, b, c: F.sum(F.pow("x", F.lit(float(a))) * F.pow("y", F.lit(float(b))) * F.pow("z", F.lit(float(c)))).alias(f"m{a}{b}{c}")
     return points.groupBy(*by).agg(*[term(*p) for p in powers])

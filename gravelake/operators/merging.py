@@ -78,16 +78,32 @@ def needs_cleaning(branches: DataFrame, factor: float = 2.0) -> DataFrame:
     return now.join(peak, "branch").filter((F.col("n_peak") >= factor * F.col("n_now")) & (F.col("snap_peak") > 0))
 
 
+def eligible(halos: DataFrame, size: str = "n", tagged: str = "n_tagged") -> DataFrame:
+    """Halos large enough to be matched."""
+    return halos.filter((F.col(size) >= MIN_SIZE) & (F.col(tagged) >= MIN_TAGGED))
+
+
 def merge_targets(cleaned: DataFrame, near: DataFrame, peaks: DataFrame) -> DataFrame:
-    """``id, target``: of the halos near a cleaned one, the largest with the same peak progenitor, else the largest that lists it.
+    """``id, target`` of cleaned halos.
+
+    Of the neighbours with the same peak progenitor, the halo itself among
+    them, the most massive is the target, unless it is the halo itself.  Then
+    the neighbours are gone through in order, and the first one counts that is
+    another halo and lists the halo's own main progenitor, or that is the most
+    massive of all and at least as massive as what the halo lost.
 
-    ``near``: ``id, other``; ``peaks``: ``other, n, id_peak, progenitors``.
+    ``cleaned``: ``id, id_peak, main_prog, lost``; ``near``: ``id, other, place``
+    (the halo itself included); ``peaks``: ``other, mass, other_peak, progenitors``.
     """
-    rows = cleaned.select("id", F.col("id_peak").alias("own")).join(near, "id").join(peaks, "other").filter("id != other")
-    same, lists = F.col("id_peak") == F.col("own"), F.array_contains("progenitors", F.col("own"))
-    rank = F.when(same, 2).when(lists, 1)
-    best = F.max(F.struct(rank.alias("r"), "n", (-F.col("other")).alias("o"))).alias("x")
-    return rows.filter(same | lists).groupBy("id").agg(best).select("id", (-F.col("x.o")).alias("target"))
+    rows = cleaned.join(near, "id").join(peaks, "other")
+    first = F.struct("mass", (-F.col("place")).alias("p"), "other", "place")
+    same = F.max(F.when(F.col("other_peak") == F.col("id_peak"), first)).alias("same")
+    lists = (F.col("other") != F.col("id")) & F.array_contains("progenitors", F.col("main_prog"))
+    by_list = F.min(F.when(lists, F.struct("place", "other"))).alias("by_list")
+    found = rows.groupBy("id").agg(same, by_list, F.max(first).alias("top"), F.first("lost").alias("lost"))
+    by_mass = F.when(F.col("top.mass") >= F.col("lost"), F.struct(F.col("top.place").alias("place"), F.col("top.other").alias("other")))
+    other = F.least("by_list", by_mass)["other"]  # the one that comes first; nulls are skipped
+    return found.select("id", F.when(F.col("same.other") != F.col("id"), F.col("same.other")).otherwise(other).alias("target")).filter("target is not null")
 
 
 def merged_particles(lists: DataFrame, members: DataFrame) -> DataFrame:

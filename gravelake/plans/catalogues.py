@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gravelake.functions import bits
 from gravelake.functions.geometry import wrap_origin
+from gravelake.operators.neighbours import in_box
 from gravelake.sources.files import by_slab
 
 
@@ -39,9 +40,20 @@ def zel_to_absolute(rows: DataFrame, ppd: int, box: float) -> DataFrame:
     return rows.withColumns({**placed, "pid": bits.make_pid(F.col("i"), F.col("j"), F.col("k"))})
 
 
-def transposed(particles: DataFrame, path: str, cpd: int, box: float = 1.0) -> int:
-    """Axes x and z exchanged, written by the new slabs."""
-    return by_slab(particles.select("pid", F.col("z").alias("x"), "y", F.col("x").alias("z"), F.col("vz").alias("vx"), "vy", F.col("vx").alias("vz")), path, cpd, box)
+def transposed(particles: DataFrame, slab: str = "slab", name: str = "place") -> DataFrame:
+    """The rows of every slab file numbered with the last lattice axis slowest (z, x, y); coordinates are untouched."""
+    axes = [bits.lattice(F.col("pid"), a) for a in (2, 0, 1)]
+    return particles.withColumn(name, F.row_number().over(Window.partitionBy(slab).orderBy(*axes)).cast("long") - 1)
+
+
+def merger_input(halos: DataFrame, particle_mass: float) -> DataFrame:
+    """What matching needs of a catalogue: index, position, mass and tagged particles of both subsamples."""
+    return halos.select("id", "n", *"xyz", (F.col("n") * particle_mass).alias("mass"), (F.col("ntagged_a") + F.col("ntagged_b")).alias("n_tagged"))
+
+
+def printable(halos: DataFrame, least_size: int, least_mass: float, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
+    """Halos that a text catalogue lists: large and heavy enough, with their centre inside the bounds."""
+    return in_box(halos.filter((F.col("size") >= least_size) & (F.col("mass") >= least_mass)), low, high)
 
 
 def to_single_precision(df: DataFrame) -> DataFrame:

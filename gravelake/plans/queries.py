@@ -82,31 +82,36 @@ WHERE floor((x + 0.5) * 15) <> ((floor((x1 + 0.5) * 15) % 15) + 15) % 15 OR floo
 GROUP BY 1, 2""")
 def drift_and_rebin(spark, sf_dir):
     """Particles that leave their cell in a drift, from slab to slab."""
-    p = in_cells(particles(spark, sf_dir))
-    moved = p.withColumns({c: geometry.wrap_origin(F.col(c) + F.col(f"v{c}") * 0.003 + 0.5, 1.0) - 0.5 for c in "xyz"})
-    new = moved.withColumns({n: geometry.cell(F.col(c), CPD) for n, c in (("di", "x"), ("dj", "y"), ("dk", "z"))})
-    return new.filter("ci != di or cj != dj or ck != dk").groupBy(F.col("ci").alias("slab"), F.col("di").alias("new_slab")).agg(F.count(F.lit(1)).alias("n"))
+    from gravelake.plans.stepping import drift
+
+    old = in_cells(particles(spark, sf_dir)).withColumnsRenamed({"cj": "old_j", "ck": "old_k"})
+    new = drift(old, 0.003, CPD)
+    return new.select("ci", F.col("slab").alias("new_slab"), (F.col("slab") != F.col("ci")).alias("a"), (F.col("old_j") != F.col("cj")).alias("b"), (F.col("old_k") != F.col("ck")).alias("c")).filter("a or b or c").groupBy(F.col("ci").alias("slab"), "new_slab").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {P}, a AS (SELECT pid, vx, vy, -y AS ax, x AS ay FROM p)
-SELECT pid, round(vx + ax * 0.25, 9) AS vx_half, round(vx + ax * 0.25 + ax * 0.5, 9) AS vx_full, round(vx + ax * 0.75 - ax * 0.5, 9) AS vx_unkicked, round((vx + ax * 0.25) * (vx + ax * 0.25) + (vy + ay * 0.25) * (vy + ay * 0.25), 6) AS v2_half FROM a""")
+SELECT pid, round(vx + ax * 0.25, 9) AS vx_half, round(vx + ax * 0.25 + ax * 0.5, 9) AS vx_full, round(vx + ax * 0.25, 9) AS vx_unkicked, round((vx + ax * 0.25) * (vx + ax * 0.25) + (vy + ay * 0.25) * (vy + ay * 0.25), 6) AS v2_half FROM a""")
 def kicks(spark, sf_dir):
     """Two half kicks, with statistics between them, and the last one undone."""
-    a = particles(spark, sf_dir).withColumns({"ax": -F.col("y"), "ay": F.col("x")})
-    half = {c: F.col(f"v{c}") + F.col(f"a{c}") * 0.25 for c in "xy"}
-    return a.select("pid", F.round(half["x"], 9).alias("vx_half"), F.round(half["x"] + F.col("ax") * 0.5, 9).alias("vx_full"), F.round(F.col("vx") + F.col("ax") * 0.75 - F.col("ax") * 0.5, 9).alias("vx_unkicked"), r6(half["x"] * half["x"] + half["y"] * half["y"], "v2_half"))
+    from gravelake.functions.cosmology import unkick
+    from gravelake.plans.stepping import kick
+
+    a = particles(spark, sf_dir).withColumns({"ax": -F.col("y"), "ay": F.col("x"), "az": F.lit(0.0)})
+    half = kick(a, 0.25).withColumn("v2_half", F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")).withColumn("vx_half", F.col("vx"))
+    full = kick(half, 0.5)
+    return full.select("pid", F.round("vx_half", 9).alias("vx_half"), F.round("vx", 9).alias("vx_full"), F.round(unkick(F.col("vx"), F.col("ax"), 0.5), 9).alias("vx_unkicked"), r6(F.col("v2_half"), "v2_half"))
 
 
 # Identifiers and packed words -----------------------------------------------------------------------------------
 
 
 @query("""WITH s AS (SELECT l_orderkey % 32768 AS a, l_partkey % 32768 AS b, l_suppkey % 32768 AS c FROM lineitem)
-SELECT DISTINCT a | (b << 16) | (c << 32) AS pid, a | (b << 15) | (c << 30) AS linear, (a * 128 + b) * 128 + c AS site, a AS i, b AS j, c AS k FROM s""")
+SELECT DISTINCT a | (b << 16) | (c << 32) AS pid, a | (b << 15) | (c << 30) AS linear, (a * 128 + b) * 128 + c AS site, a AS i, b AS j, c AS k, true AS back FROM s""")
 def pid_layout(spark, sf_dir):
     """Identifiers made from lattice coordinates, taken apart and made contiguous."""
     made = table(spark, sf_dir, "lineitem").select(bits.make_pid(*[F.col(c) % 32768 for c in ("l_orderkey", "l_partkey", "l_suppkey")]).alias("pid")).distinct()
     pid = F.col("pid")
-    return made.select("pid", bits.contiguous(pid).alias("linear"), bits.linear_site(pid, 128).alias("site"), *[bits.lattice(pid, a).alias(n) for a, n in enumerate("ijk")])
+    return made.select("pid", bits.contiguous(pid).alias("linear"), (bits.spread(bits.contiguous(pid)) == pid).alias("back"), bits.linear_site(pid, 128).alias("site"), *[bits.lattice(pid, a).alias(n) for a, n in enumerate("ijk")])
 
 
 @query(f"""WITH {P}, f AS (SELECT pid & 140735340838911 AS a, pid % 2 = 0 AS l0, pid % 3 = 0 AS ta, pid % 5 = 0 AS lc FROM p)
@@ -354,7 +359,13 @@ def descendants(spark, sf_dir):
     return best.select("halo", (-F.col("x.h")).alias("descendant"), F.col("x.n").alias("shared"))
 
 
-@query(f"""WITH {H}, n AS ({neighbour_sql('h', 'h', 0.016, 'l.id, r.id AS host, l.r AS r, r.r AS hr, r.vmax AS v, l.vmax AS own', 'id', 'id')}), o AS (SELECT * FROM n WHERE id <> host AND hr > r AND d2 < hr * hr)
+_GAP = "(l.{0} - r.{0} - round_even(l.{0} - r.{0}, 0))"
+
+
+# Slabs along x are as wide as the largest radius in the data, so that only neighbours can hold a centre.
+@query(f"""WITH {H}, k AS (SELECT greatest(1, CAST(floor(1 / max(r)) AS BIGINT)) AS n FROM h), s AS (SELECT id, x, y, z, r, vmax, n, CAST(floor((x + 0.5) * n) AS BIGINT) % n AS slab FROM h, k),
+t AS (SELECT DISTINCT id, x, y, z, r, vmax, (slab + o + n) % n AS slab FROM s, (VALUES (-1), (0), (1)) v(o)),
+o AS (SELECT l.id, r.id AS host, r.vmax AS v FROM s l JOIN t r ON l.slab = r.slab WHERE r.r > l.r AND {" + ".join(f"{_GAP.format(c)} * {_GAP.format(c)}" for c in "xyz")} < r.r * r.r)
 SELECT id, arg_min(host, (v, host)) AS parent, CAST(count(*) AS BIGINT) AS containers FROM o GROUP BY id""")
 def parents(spark, sf_dir):
     """Of the larger halos whose radius holds a halo's centre, the one with the smallest vmax."""
@@ -399,7 +410,7 @@ def set_operations(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     r, a = (line.filter(F.col("l_returnflag") == f).select("l_partkey") for f in "RA")
     count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(r.intersect(a), "both").unionByName(count(r.exceptAll(a.limit(0)).distinct().join(a, "l_partkey", "left_anti"), "only_r")).unionByName(count(r.union(a), "all")).unionByName(count(line.select("l_partkey").distinct(), "distinct"))
+    return count(r.intersect(a), "both").unionByName(count(r.subtract(a), "only_r")).unionByName(count(r.union(a), "all")).unionByName(count(line.select("l_partkey").distinct(), "distinct"))
 
 
 @query("""SELECT o_custkey AS branch, o_orderkey AS snap, round(max(o_totalprice) OVER w, 2) AS peak, arg_max(o_orderkey, o_totalprice) OVER w AS peak_snap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
@@ -417,12 +428,14 @@ def shell_widths(spark, sf_dir):
     return s.select("step", r6(F.lead("eta").over(Window.orderBy("step")) - F.col("eta"), "width"))
 
 
-@query("""WITH s AS (SELECT event_id % 60 AS step, round(avg(value)) + 1 AS width FROM events GROUP BY 1), t AS (SELECT *, sum(width) OVER (ORDER BY step) AS upto FROM s)
-SELECT step, CAST(step // 8 AS BIGINT) AS simple, CAST(greatest(round((upto - width / 2) / 300 - 0.5), 0) AS BIGINT) AS carried FROM t""")
+@query("""WITH RECURSIVE s AS (SELECT step, width, row_number() OVER (ORDER BY step DESC) AS i FROM (SELECT event_id % 60 AS step, round(avg(value)) + 1 AS width FROM events GROUP BY 1)),
+g(i, step, grp, filled) AS (SELECT i, step, 0, width FROM s WHERE i = 1
+  UNION ALL SELECT s.i, s.step, CASE WHEN filled + width > 300 + width / 2 THEN grp + 1 ELSE grp END, CASE WHEN filled + width > 300 + width / 2 THEN width - (300 - filled) ELSE filled + width END FROM g JOIN s ON s.i = g.i + 1)
+SELECT step, CAST(step // 8 AS BIGINT) AS simple, CAST(grp AS BIGINT) AS carried FROM g""")
 def shell_groups(spark, sf_dir):
-    """Shells in groups of a fixed number and of a target width."""
+    """Shells in groups of a fixed number and of a target width, the latter from the last step backwards."""
     s = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 60).alias("step")).agg((F.round(F.avg("value")) + 1).alias("width"))
-    return ordered.carried_groups(s, "step", "width", 300.0, "carried").select("step", F.expr("step div 8").alias("simple"), "carried")
+    return ordered.carried_groups(s, "step", "width", 300.0, "carried", descending=True).select("step", F.expr("step div 8").alias("simple"), "carried")
 
 
 @query("SELECT event_type AS bin, CAST(sum(event_id % 9) AS BIGINT) AS npairs, round(sum(value * (event_id % 9)) / sum(event_id % 9), 6) AS ravg FROM events GROUP BY 1")
@@ -438,7 +451,7 @@ _NEAR = neighbour_sql("p", "p", TINY_LINK, "l.pid AS a, r.pid AS b, l.x - r.x -
 @query(f"WITH {P}, n AS ({_NEAR}) SELECT CAST(count(*) AS BIGINT) AS links, round(sum(sqrt(d2)), 6) AS total, CAST(count(DISTINCT a) AS BIGINT) AS linked FROM n WHERE a < b")
 def neighbour_links(spark, sf_dir):
     """Pairs nearer than a linking length."""
-    pairs = neighbours.self_pairs(particles(spark, sf_dir), TINY_LINK)
+    pairs = neighbours.self_pairs(particles(spark, sf_dir).dropDuplicates(["pid"]), TINY_LINK)
     return pairs.agg(F.count(F.lit(1)).alias("links"), r6(F.sum(F.sqrt("d2")), "total"), F.count_distinct("a").alias("linked"))
 
 
@@ -461,9 +474,9 @@ SELECT id, other, CAST(k AS INTEGER) AS k, round(sqrt(d2), 9) AS d FROM r WHERE
 def nearest_neighbours(spark, sf_dir):
     """The four nearest halos within a radius."""
     h = halos(spark, sf_dir).select("id", "x", "y", "z")
-    found = neighbours.pairs_within(h, h, 0.03).filter("id != r_id")
-    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d2", "r_id"))).filter("k <= 4")
-    return ranked.select("id", F.col("r_id").alias("other"), "k", F.round(F.sqrt("d2"), 9).alias("d"))
+    others = h.select(F.col("id").alias("other"), *"xyz")
+    found = neighbours.nearest(h, others, 5, 0.03, "id", "other").filter("id != r_other")  # the halo itself is the first
+    return found.select("id", F.col("r_other").alias("other"), (F.col("rank") - 1).alias("k"), F.round(F.sqrt("d2"), 9).alias("d"))
 
 
 _PAIR_EDGES = [0.002, 0.004, 0.008, 0.012]
@@ -477,12 +490,15 @@ def pair_counts(spark, sf_dir):
     return neighbours.pair_counts(p, _PAIR_EDGES).select("bin", "npairs", r6(F.col("ravg"), "ravg"))
 
 
-@query(f"""WITH {P}, n AS ({_NEAR}) SELECT a AS pid, CAST(count(*) AS BIGINT) AS sources, round(sum(-dx / pow(d2 + 0.001 * 0.001, 1.5)) / 1000, 3) AS ax FROM n WHERE a <> b GROUP BY 1""")
+_NEAR_3 = neighbour_sql("p", "p", TINY_LINK, "l.pid AS a, r.pid AS b, " + ", ".join(f"{_GAP.format(c)} AS d{c}" for c in "xyz"), "pid", "pid")
+
+
+@query(f"""WITH {P}, n AS ({_NEAR_3}), f AS (SELECT a, {", ".join(f"sum(-d{c} / pow(d2 + 0.001 * 0.001, 1.5)) AS a{c}" for c in "xyz")} FROM n WHERE a <> b GROUP BY 1)
+SELECT pid, {", ".join(f"round(coalesce(a{c}, 0) / 1000, 3) AS a{c}" for c in "xyz")} FROM (SELECT DISTINCT pid FROM p) LEFT JOIN f ON a = pid""")
 def near_forces(spark, sf_dir):
-    """Softened forces of near sources."""
-    pairs = neighbours.pairs_within(particles(spark, sf_dir).select("pid", "x", "y", "z"), particles(spark, sf_dir).select("pid", "x", "y", "z"), TINY_LINK).filter("pid != r_pid")
-    f = neighbours.softened(F.col("d2"), 0.001, "plummer")
-    return pairs.groupBy("pid").agg(F.count(F.lit(1)).alias("sources"), F.round(F.sum(-f * geometry.minimum_image(F.col("x") - F.col("r_x"))) / 1000, 3).alias("ax"))
+    """Softened forces of near sources on all particles."""
+    p = particles(spark, sf_dir).dropDuplicates(["pid"])
+    return neighbours.near_force(p, p, TINY_LINK, 0.001).select("pid", *[F.round(F.col(f"a{c}") / 1000, 3).alias(f"a{c}") for c in "xyz"])
 
 
 # Halo statistics -------------------------------------------------------------------------------------------------
@@ -565,10 +581,7 @@ def light_cone(spark, sf_dir):
 
 
 def _healpix_sql(nside: int) -> str:
-    spread = "i{0}"
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        spread = f"(({spread} | ({spread} << {shift})) & {mask})" if shift != 16 else f"((i{{0}} | (i{{0}} << {shift})) & {mask})"
-    # Bits one by one, which is shorter than the nested form.
+    # The published formulas region by region, which the query does not follow; bits one by one.
     bits_of = lambda c: " + ".join(f"((({c} >> {b}) & 1) << {2 * b})" for b in range(nside.bit_length() - 1))
     return f"""WITH {P}, a AS (SELECT pid, z / sqrt(x * x + y * y + z * z) AS c, sqrt(x * x + y * y) / sqrt(x * x + y * y + z * z) AS s, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END / (pi() / 2) AS t0 FROM p),
     b AS (SELECT pid, c, s, CASE WHEN t0 >= 4 THEN 0 ELSE t0 END AS t FROM a),
@@ -756,3 +769,6 @@ def expansion_history(spark, sf_dir):
     from gravelake.functions.cosmology import Cosmology, epochs
 
     return epochs(spark, Cosmology(0.3, 0.7), [0.0, 0.1, 0.5, 1.0, 2.0, 5.0, 9.0])
+
+
+from gravelake.plans import more_queries  # noqa: E402, F401  registers the rest

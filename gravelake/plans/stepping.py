@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,24 @@ def near_only(radius: float, eps: float) -> Callable[[DataFrame], DataFrame]:
     return lambda p: p.drop("ax", "ay", "az").join(near_force(p.select("pid", "x", "y", "z"), p.select("pid", "x", "y", "z"), radius, eps), "pid")
 
 
+def total_acceleration(near: DataFrame, far: DataFrame, omega_m: float, omega_smooth: float, total: int) -> DataFrame:
+    """Near and far parts ``pid, ax, ay, az`` added and put into the units of the step: times 3 (omega_m - omega_smooth) / (8 pi total).
+
+    Both parts are sums over sources of (sink - source) / r**3, hence the sign.
+    """
+    factor = -3 * (omega_m - omega_smooth) / (8 * math.pi * total)
+    both = near.join(far.withColumnsRenamed({f"a{c}": f"f{c}" for c in "xyz"}), "pid")
+    return both.select("pid", *[((F.col(f"a{c}") + F.col(f"f{c}")) * factor).alias(f"a{c}") for c in "xyz"])
+
+
+def slab_windows(rows: DataFrame, cpd: int, radius: int, slab: str = "slab", name: str = "centre") -> DataFrame:
+    """Every row once for each slab whose window of ``radius`` slabs to both sides holds it (periodic); group by ``name`` to act on a window."""
+    if 2 * radius + 1 > cpd:
+        raise ValueError(f"a window of {2 * radius + 1} slabs is wider than the box of {cpd}")
+    shifts = F.array(*[F.lit(o) for o in range(-radius, radius + 1)])
+    return rows.withColumn("__o", F.explode(shifts)).withColumn(name, F.pmod(F.col(slab) + F.col("__o"), F.lit(cpd))).drop("__o")
+
+
 def lpt_displacement(first: DataFrame, second: DataFrame, growth1: float, growth2: float) -> DataFrame:
     """Second-order displacements combined with their growth factors; both ``pid, dx, dy, dz``."""
     return first.join(second.withColumnsRenamed({f"d{c}": f"e{c}" for c in "xyz"}), "pid").select("pid", *[(growth1 * F.col(f"d{c}") + growth2 * F.col(f"e{c}")).alias(f"d{c}") for c in "xyz"])

@@ -11,10 +11,13 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset (a single machine)."""
+    """``spark.checkpoint.dir``; a local master may leave it unset and gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="gravelake-"))
     return f"file://{_LOCAL[0]}"

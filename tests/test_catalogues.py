@@ -38,7 +38,13 @@ def test_catalogues(spark, tmp_path):
     assert catalogues.to_initial_conditions(p, str(tmp_path / "ic"), 3, 1.0, 500.0, 2.0, flip=True, contiguous=True) == 216
     back = spark.read.parquet(str(tmp_path / "ic"))
     assert back.agg(F.max("x")).first()[0] < 250 and back.first().vx == -2.0 and back.agg(F.max("pid")).first()[0] == 5 | 5 << 15 | 5 << 30
-    assert catalogues.transposed(p, str(tmp_path / "t"), 3) == 216
+    t = catalogues.transposed(p.withColumn("slab", F.floor((F.col("x") + 0.5) * 3)))
+    plain = np.arange(216).reshape(6, 6, 6)  # x, y, z
+    for slab in range(3):
+        want = np.moveaxis(plain[2 * slab : 2 * slab + 2], 2, 0).ravel()
+        rows = sorted((r for r in t.collect() if r.slab == slab), key=lambda r: r.place)
+        assert [(r.pid & 0x7FFF) * 36 + (r.pid >> 16 & 0x7FFF) * 6 + (r.pid >> 32) for r in rows] == want.tolist()
+        assert all(r.x == (r.pid & 0x7FFF) / 6 - 0.5 for r in rows)  # coordinates stay
     assert dict(catalogues.to_single_precision(p).dtypes)["x"] == "float"
     zel = spark.createDataFrame([(1, 2, 3, 0.5, 0.0, -0.5)], "i long, j long, k long, x double, y double, z double")
     r = catalogues.zel_to_absolute(zel, 4, 8.0).first()

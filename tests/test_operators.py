@@ -32,12 +32,13 @@ def periodic(x):
     return (d**2).sum(2)
 
 
-@pytest.mark.parametrize("radius", [0.02, 0.12, 0.3, 0.45])
+@pytest.mark.parametrize("radius", [0.02, 0.12, 0.3, 0.45, 0.7])
 def test_pairs(spark, radius):
     x, _, df = points(spark, 250)
     d2 = periodic(x)
     want = {(i, j) for i in range(250) for j in range(i + 1, 250) if d2[i, j] < radius**2}
-    assert {(r.a, r.b) for r in neighbours.self_pairs(df, radius).collect()} == want
+    got = [(r.a, r.b) for r in neighbours.self_pairs(df, radius).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     both = neighbours.pairs_within(df.select("pid", "x", "y", "z"), df.select("pid", "x", "y", "z"), radius).filter("pid != r_pid")
     assert both.count() == 2 * len(want)
 
@@ -257,12 +258,39 @@ def test_merging(spark):
     assert peak == {(1, 2): 60, (1, 1): 100, (1, 0): 100, (2, 1): 80, (2, 0): 90}
     cleaned = merging.needs_cleaning(branches)
     assert [r.branch for r in cleaned.collect()] == [1]
-    targets = merging.merge_targets(cleaned, spark.createDataFrame([(1, 2), (1, 3)], "id long, other long"), spark.createDataFrame([(2, 90, 5, [6]), (3, 95, 7, [5])], "other long, n long, id_peak long, progenitors array<long>"))
-    assert [(r.id, r.target) for r in targets.collect()] == [(1, 2)]
+    rules = spark.createDataFrame([(1, 5, 8, 99), (2, 6, 9, 99), (3, 7, 7, 50), (4, 4, 4, 10**6)], "id long, id_peak long, main_prog long, lost long")
+    around = spark.createDataFrame([(i, o, k) for i, os in {1: (1, 20, 21), 2: (2, 22, 23, 24), 3: (3, 25, 23), 4: (4, 20)}.items() for k, o in enumerate(os, 1)], "id long, other long, place int")
+    known = spark.createDataFrame([(1, 10, 5, [8]), (2, 95, 6, [9]), (3, 1, 7, [7]), (4, 1, 4, [4]), (20, 90, 5, [0]), (21, 91, 5, [0]), (22, 90, 0, [1]), (23, 80, 0, [9]), (24, 94, 0, [9]), (25, 70, 0, [0])], "other long, mass long, other_peak long, progenitors array<long>")
+    # 1: the heavier of two with its peak; 2: itself is heaviest there, then the first that lists its progenitor; 3: the most massive neighbour; 4: none.
+    assert {r.id: r.target for r in merging.merge_targets(rules, around, known).collect()} == {1: 21, 2: 23, 3: 23}
+    assert merging.eligible(spark.createDataFrame([(50, 5), (49, 9), (99, 4)], "n long, n_tagged long")).count() == 1
     put = merging.merged_particles(spark.createDataFrame([(1, 0, 5), (2, 5, 3)], "halo long, start long, count long"), spark.createDataFrame([(9, 1), (9, 2)], "host long, halo long"))
     assert sorted((r.halo, r.new_start) for r in put.collect()) == [(1, 0), (2, 5)]
 
 
+def test_greedy_shells(spark):
+    fold = lambda widths, target: [r.g for r in ordered.carried_groups(spark.createDataFrame([(i, float(w)) for i, w in enumerate(widths)], "i long, w double"), "i", "w", target, "g").orderBy("i").collect()]
+    assert fold([1, 2, 1, 2], 2.0) == [0, 0, 1, 2]
+    assert fold([1, 10, 1, 1], 3.0) == [0, 1, 2, 3]
+    assert fold([], 3.0) == []
+
+
+def test_eigensystem(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(50, 3, 3))
+    m = m + m.transpose(0, 2, 1)
+    names = {"xx": (0, 0), "yy": (1, 1), "zz": (2, 2), "xy": (0, 1), "xz": (0, 2), "yz": (1, 2)}
+    df = spark.createDataFrame([(i, *(float(a[p]) for p in names.values())) for i, a in enumerate(m)] + [(50, 2.0, 2.0, 2.0, 0.0, 0.0, 0.0)], "i long, " + ", ".join(f"{n} double" for n in names))
+    for r in geometry.eigensystem(df).collect():
+        if r.i == 50:
+            assert [r.e1, r.e2, r.e3, r.v11, r.v22, r.v33] == [2, 2, 2, 1, 1, 1]
+            continue
+        w, v = np.linalg.eigh(m[r.i])
+        assert np.allclose([r.e3, r.e2, r.e1], w)
+        for k in (1, 2, 3):
+            assert abs(np.dot([r[f"v{k}{c}"] for c in (1, 2, 3)], v[:, 3 - k])) == pytest.approx(1, abs=1e-6)
+
+
 def test_light_cone(spark):
     df = spark.createDataFrame([(1, 0.42, 0.0, 0.0, 0.0, 0.0, 0.0), (2, 0.2, 0.0, 0.0, 0.0, 0.0, 0.0), (3, 0.46, 0.0, 0.0, -0.02, 0.0, 0.0)], "pid long, x double, y double, z double, wx double, wy double, wz double")
     got = {r.pid: (r.frac, r.px) for r in lightcone.crossings(df, 0.45, 0.40).collect()}
