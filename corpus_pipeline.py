@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gravelake.llm import exact_dedup, hilbert_packing, odd_sketch_dedup, pii, quality_rules
-from gravelake.llm._store import materialise
+from gravelake.llm._store import finished, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.  What a stage stored is deleted when the next one's documents are written; the last two stages' tables stay, since the result reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, name.replace(" ", "-"))
-    return docs
+    *first, (name, stage), (_, last) = STAGES
+    with scratch(spark):
+        for early, work in first:
+            with scratch(spark):
+                docs = finished(work(spark, docs, sf_dir), early.replace(" ", "-"))
+        docs = finished(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return last(spark, docs, sf_dir)

@@ -11,12 +11,13 @@
    drop candidates; the others are confirmed on the full sets, first the best
    candidate of each node, then what still joins different components.
 4. Buckets that still hold several components may have links that no hub
-   shows.  Their members are compared across components by a prefix filter:
-   each set's shingles are ordered by how often other components have them, the
-   rarest first, and two sets that are similar enough share one of the first
-   ``n - ceil(s * n) + 1``, at places that leave enough room behind them.  Sizes,
-   places and sketches are tested inside that join; sets are joined to what is
-   left.  No bucket is capped.
+   shows (not those of two members, or of three with two hubs: their pairs all
+   have a hub).  Their members are compared across components by a prefix
+   filter: each set's shingles are ordered by how often they occur, those that
+   one component has alone before all others, and two sets that are similar
+   enough share one of the first ``n - ceil(s * n) + 1``, at places that leave
+   enough room behind them.  Sizes, places and sketches are tested inside that
+   join; sets are joined to what is left.  No bucket is capped.
 
 A pair at the threshold shares no bucket with probability (1 - s**ROWS)**BANDS,
 2e-8 at a similarity of 0.85, and is lost to the sketch with less than 1e-9.
@@ -145,7 +146,7 @@ def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int)
     central = materialise(shared.groupBy("id").agg(F.sum(F.floor(F.log2("size"))).alias("centre")), "central")
     shared = materialise(shared.join(central, "id").select("id", "bucket", "centre"), "shared")
     order = F.col("id").bitwiseXOR(F.col("bucket"))
-    hubs = materialise(shared.groupBy("bucket").agg(F.max(F.struct("centre", F.bitwise_not("id").alias("x"))).alias("top"), F.min(order).alias("lo")).select("bucket", F.bitwise_not("top.x").alias("h1"), F.col("lo").bitwiseXOR(F.col("bucket")).alias("h2")), "hubs")
+    hubs = materialise(shared.groupBy("bucket").agg(F.max(F.struct("centre", F.bitwise_not("id").alias("x"))).alias("top"), F.min(order).alias("lo"), F.count(F.lit(1)).alias("size")).select("bucket", F.bitwise_not("top.x").alias("h1"), F.col("lo").bitwiseXOR(F.col("bucket")).alias("h2"), "size"), "hubs")
     stars = shared.join(hubs, "bucket").select("id", F.explode(F.array("h1", "h2")).alias("hub")).filter("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     sketches = reps.select("id", "n", "sketch")
 
@@ -199,12 +200,17 @@ def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int)
     within = materialise(shared.select("id", "bucket").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("label", F.xxhash64("id")).alias("label")), "within")
 
     mixed = within.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-    members = materialise(within.join(materialise(mixed, "mixed"), "bucket", "left_semi").select("id", "label").distinct(), "members")
-    flat = materialise(sets.join(members, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "member-shingles")
-    common = materialise(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("shingle", "often"), "common-shingles")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(0)), "shingle"))
-    first = flat.join(common, "shingle", "left").withColumn("place", place).filter(f"often is not null and place <= n - ({percent} * n + 99) div 100 + 1")
-    prefixes = materialise(first.select("id", "label", "n", "shingle", "place").join(reps.select("id", "sketch"), "id"), "prefixes")
+    unseen = hubs.filter("size > 3 or size = 3 and h1 = h2").select("bucket")
+    members = within.join(materialise(mixed.join(unseen, "bucket", "left_semi"), "mixed"), "bucket", "left_semi")
+    members = materialise(members.select("id", "label").distinct().join(reps.select("id", "n", "sketch"), "id"), "members")
+    flat = materialise(sets.join(members.select("id", "label"), "id").select("id", "label", F.explode("shingles").alias("shingle")), "member-shingles")
+    common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
+    met = flat.select("id", "shingle").join(materialise(common.select("shingle", "often"), "common-shingles"), "shingle")
+    own = Window.partitionBy("id")
+    # What one component has alone comes first; it is counted without being ranked.
+    ranked = materialise(met, "met").withColumns({"rank": F.row_number().over(own.orderBy("often", "shingle")), "all": F.count(F.lit(1)).over(own)})
+    placed = ranked.join(members, "id").withColumn("place", F.col("rank") + F.col("n") - F.col("all"))
+    prefixes = materialise(placed.filter(f"place <= n - ({percent} * n + 99) div 100 + 1").select("id", "label", "n", "shingle", "place", "sketch"), "prefixes")
     left = prefixes.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "place": "pa", "sketch": "sa"})
     right = prefixes.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "place": "pb", "sketch": "sb"})
     room = F.expr(f"1 + least(na - pa, nb - pb) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")

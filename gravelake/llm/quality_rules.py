@@ -236,21 +236,8 @@ def estimate(rows: DataFrame, few: bool) -> DataFrame:
     return materialise(_moments(inner.select("gid", *vectors), ["gid"], _consistency(0.975)), "mcd")
 
 
-def _identity() -> Column:
-    """What tells rows apart: equal rows, and only those, get equal numbers (of 64 bits) and verdicts."""
-    return F.xxhash64(*[F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "lang", "source")], F.coalesce("text", F.lit("")))
-
-
-def _verdicts(docs: DataFrame, tail: float, most_groups: int) -> DataFrame:
-    """``judge``'s columns and ``row``, the row's identity."""
-    source = text_columns(docs, "doc_id", "text", "lang", "source")
-    counted = statistics(source.withColumn("row", _identity()))
-    mark = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
-    rows = counted.select(
-        "doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
-        mark("lang").alias("l"), mark("source").alias("s"), (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())],
-    )
-    rows = materialise(rows, "statistics")
+def _verdicts(rows: DataFrame, tail: float, most_groups: int) -> DataFrame:
+    """Stored ``_measured`` rows with ``kept`` and ``distance``; the groups' parameters are ``finished``."""
     sizes = materialise(rows.filter("not base_failed").groupBy("l", "s").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     few = sizes.count() <= most_groups
     pooled = sizes.filter(f"n < {LEAST}").groupBy("l").agg(F.sum("n").alias("pool"))
@@ -262,28 +249,47 @@ def _verdicts(docs: DataFrame, tail: float, most_groups: int) -> DataFrame:
     if not groups.filter("gid = '*'").isEmpty():
         feeds = feeds.unionByName(sizes.select("l", "s", F.lit("*").alias("gid")))
     vectors = [f"x{i}" for i in range(_P)]
-    sample = materialise(_beside(rows.filter("not base_failed"), feeds, ["l", "s"], few).select("gid", "salt", *vectors), "vectors")
+    passing = rows.filter("not base_failed").select("l", "s", "salt", *vectors)
+    sample = materialise(_beside(passing, feeds, ["l", "s"], few).select("gid", "salt", *vectors), "vectors")
     params = estimate(sample, few).drop("log_det")
     limit = chi2_quantile(1 - tail, _P)
-    by_group = materialise(groups.join(params, "gid").drop("gid"), "mcd-groups")
+    by_group = finished(groups.join(params, "gid").drop("gid"), "mcd-groups")
     far = F.when(~F.col("base_failed"), _distance())
-    return _beside(rows, by_group, ["l", "s"], few, "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce(far, F.lit(0.0)) <= limit)).alias("kept"), far.alias("distance"), "row",
+    judged = _beside(rows, by_group, ["l", "s"], few, "left").withColumn("distance", far)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """Statistics, group and vector of every row; of the other columns those that ``docs`` has beside ``text, lang, source``."""
+    mark = lambda c: F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-"))
+    rest = [c for c in docs.columns if c not in ("text", "lang", "source")]
+    return statistics(docs).select(
+        *rest, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        mark("lang").alias("l"), mark("source").alias("s"), (F.monotonically_increasing_id() % SALTS).cast("int").alias("salt"), *[x.alias(f"x{i}") for i, x in enumerate(transformed())],
     )
 
 
 def judge(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -> DataFrame:
     """``doc_id``, the statistics, ``base_failed``, ``kept`` and ``distance`` of every row."""
+    source = text_columns(docs, "doc_id", "text", "lang", "source")
     with scratch(docs.sparkSession):
-        return finished(_verdicts(docs, tail, most_groups).drop("row"), "verdicts")
+        rows = materialise(_measured(source), "statistics")
+        with scratch(docs.sparkSession):
+            found = _verdicts(rows, tail, most_groups)
+        return finished(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"), "verdicts")
 
 
 def keep_good(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -> DataFrame:
-    """The input's rows, all columns, without those that ``judge`` rejects."""
+    """The input's rows, all columns, without those that ``judge`` rejects.
+
+    Rows are stored with their statistics and judged there, so that texts are
+    neither joined by id nor, up to ``most_groups`` groups, shuffled.
+    """
+    text_columns(docs, "doc_id")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
     with scratch(docs.sparkSession):
-        bad = finished(_verdicts(docs, tail, most_groups).filter("not kept").select(F.col("row").alias("__gl_row")).distinct(), "rejected")
-    return docs.withColumn("__gl_row", _identity()).join(bad, "__gl_row", "left_anti").select(*docs.columns)
+        rows = finished(_measured(whole), "measured")
+        return _verdicts(rows, tail, most_groups).filter("kept").select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def plain_mcd(x):
 
 def test_verdicts_against_plain_mcd(spark):
     rng = random.Random(9)
-    texts = [sentence(rng, rng.randint(15, 200)) for _ in range(300)] + [" ".join("#$%&" for _ in range(30)), "averyveryverylongword" * 30 + " x" * 12, "a\n" * 3 + sentence(rng, 30)]
+    texts = [sentence(rng, rng.randint(15, 200)) for _ in range(300)] + [" ".join("#" + "".join(rng.choice("#$%&*") for _ in range(6)) for _ in range(50)), " ".join(f"averyveryverylongword{i}" * 9 for i in range(90)), "a\n" * 3 + sentence(rng, 30)]
     got = {r.doc_id: r for r in q.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"), most_groups=rng.choice([0, 9])).collect()}
     rows = []
     for i, t in enumerate(texts):
