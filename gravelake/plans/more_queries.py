@@ -256,6 +256,31 @@ def rich_groups(spark, sf_dir):
     return halo_ops.halo_statistics(particles(spark, sf_dir), "grp", 590).select(F.col("grp").alias("id"), "n", r6(F.col("cx"), "cx"))
 
 
+_ABOUT = """{0}d AS (SELECT grp, n, pow(x - x{1}, 2) + pow(y - y{1}, 2) + pow(z - z{1}, 2) AS d2, pow(vx - vx{1}, 2) + pow(vy - vy{1}, 2) + pow(vz - vz{1}, 2) AS v2, pow((x - x{1}) * (vx - vx{1}) + (y - y{1}) * (vy - vy{1}) + (z - z{1}) * (vz - vz{1}), 2) AS dv2 FROM q JOIN c USING (grp)),
+{0}k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d2) - 1 AS i FROM {0}d), {0}q AS (SELECT grp, max(CASE WHEN i = n * 9 // 10 THEN d2 END) AS d90, max(CASE WHEN i = n // 2 THEN d2 END) AS d50, max(CASE WHEN i = n // 10 THEN d2 END) AS d10, max(d2) AS d100, max(CASE WHEN i >= n // 10 THEN i * 1.0::DOUBLE * i / d2 END) AS v4 FROM {0}k GROUP BY 1),
+{0}m AS (SELECT grp, any_value(d10) AS d10, any_value(d100) AS d100, any_value(v4) AS v4, sum(v2) FILTER (d2 < d90) / any_value(n * 9 // 10) AS s2, sum(sqrt(v2)) FILTER (d2 < d90) / any_value(n * 9 // 10) AS speed, sum(v2) FILTER (d2 < d50) / any_value(n // 2) AS s50, sum(dv2 / d2) FILTER (d2 < d90) / any_value(n * 9 // 10) AS rad FROM {0}k JOIN {0}q USING (grp) GROUP BY 1)"""
+
+
+@query(f"""WITH {P}, q AS (SELECT *, CASE WHEN pid % 5 < 3 THEN pid % 5 % 2 END AS sub FROM p WHERE grp <= 60), u AS (SELECT grp, sub, count(*) AS m, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(vx) AS vx, avg(vy) AS vy, avg(vz) AS vz FROM q WHERE sub IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT DISTINCT ON (grp) * FROM u ORDER BY grp, m DESC, sub), c AS (SELECT grp, count(*) AS n, avg(q.x) AS x1, avg(q.y) AS y1, avg(q.z) AS z1, avg(q.vx) AS vx1, avg(q.vy) AS vy1, avg(q.vz) AS vz1, any_value(l.x) AS x2, any_value(l.y) AS y2, any_value(l.z) AS z2, any_value(l.vx) AS vx2, any_value(l.vy) AS vy2, any_value(l.vz) AS vz2, max(dens) AS dense,
+  (SELECT string_agg(CAST(m AS VARCHAR), ',' ORDER BY m DESC) FROM u WHERE u.grp = q.grp) AS subs FROM q JOIN l USING (grp) GROUP BY 1), {_ABOUT.format('a', '1')}, {_ABOUT.format('b', '2')}
+SELECT c.grp AS id, CAST(n AS BIGINT) AS n, subs || ',0,0,0' AS subs, round(x2, 6) AS x_core, round(dense, 2) AS dense, round(sqrt(am.d100), 6) AS r100, round(sqrt(bm.d100), 6) AS r100_core, CAST(round(sqrt(am.d10 / am.d100) * 32000) AS INTEGER) AS r10, CAST(round(sqrt(bm.d10 / bm.d100) * 32000) AS INTEGER) AS r10_core,
+  round(sqrt(am.s2), 5) AS sigma, round(sqrt(bm.s2), 5) AS sigma_core, round(am.speed, 5) AS speed, round(bm.s50, 4) AS square_core, CAST(round(sqrt(am.rad / am.s2) * 32000) AS INTEGER) AS radial, CAST(round(sqrt((bm.s2 - bm.rad) / 2 / bm.s2) * 32000) AS INTEGER) AS tangential_core, round(sqrt(sqrt(am.v4)), 5) AS vcirc, round(sqrt(sqrt(bm.v4)), 5) AS vcirc_core
+FROM c JOIN am USING (grp) JOIN bm USING (grp)""")
+def halo_outputs(spark, sf_dir):
+    """Columns of a halo catalogue about both centres."""
+    from gravelake.operators.halo_outputs import halo_outputs as outputs
+
+    p = particles(spark, sf_dir).filter("grp <= 60").select("grp", F.when(F.col("pid") % 5 < 3, F.col("pid") % 5 % 2).alias("l2"), "x", "y", "z", "vx", "vy", "vz", F.col("dens").alias("density"))
+    o = outputs(p, "grp")
+    five = lambda c, name: F.round(c, 5).alias(name)
+    return o.select(
+        F.col("grp").alias("id"), F.col("N").alias("n"), F.array_join("L2_N", ",").alias("subs"), r6(F.col("x_L2com"), "x_core"), F.round("SO_central_density", 2).alias("dense"), r6(F.col("r100_com"), "r100"), r6(F.col("r100_L2com"), "r100_core"),
+        F.col("r10_com").alias("r10"), F.col("r10_L2com").alias("r10_core"), five("sigmav3d_com", "sigma"), five("sigmav3d_L2com", "sigma_core"), five("meanSpeed_com", "speed"), F.round("sigmav3d_r50_L2com", 4).alias("square_core"),
+        F.col("sigmavrad_to_sigmav3d_com").alias("radial"), F.col("sigmavtan_to_sigmav3d_L2com").alias("tangential_core"), five("vcirc_max_com", "vcirc"), five("vcirc_max_L2com", "vcirc_core"),
+    )
+
+
 # Light cones ------------------------------------------------------------------------------------------------------
 
 
@@ -422,3 +447,88 @@ def evolving_overdensity(spark, sf_dir):
     """Virial overdensities and thresholds that follow them."""
     virial = cosmology.virial_overdensity((F.col("event_id") % 100 + 1) / 100.0)
     return table(spark, sf_dir, "events").select("event_id", r6(virial, "virial"), r6(halo_ops.evolving_delta(200.0, virial / (18 * math.pi**2)), "delta"))
+
+
+# Products: written to the shared folder and read back ------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from gravelake.storage import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {P}, q AS (SELECT *, CAST(floor((x + 0.5) * 15) AS INTEGER) AS slab, pid & 140735340838911 AS a FROM p)
+SELECT slab, pid % 3 = 0 AS in_group, CAST(count(*) AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS pids, round(sum(vx - y * 0.25), 5) AS vx, CAST(sum(least(round(sqrt(dens / 100)), 1023)) AS BIGINT) AS roots FROM q GROUP BY 1, 2""")
+def time_slice(spark, sf_dir):
+    """A snapshot by slab, field and groups apart, velocities before the last half kick."""
+    from gravelake.sources import products
+
+    path = _folder(spark, "slice")
+    p = particles(spark, sf_dir).withColumns({"ax": F.col("y"), "ay": F.lit(0.0), "az": F.lit(0.0), "a": bits.pid(F.col("pid"))})
+    aux = F.when(F.col("pid") % 3 == 0, bits.set_flag(bits.clear_flag(F.col("a"), "L0"), "L0")).otherwise(bits.clear_flag(F.col("a"), "L0"))
+    products.write_time_slice(p.withColumn("aux", aux), path, {"Redshift": 0.5, "SimName": "test"}, CPD, unkick=0.25, density_unit=100.0)
+    if not products.is_finished(spark, path) or products.read_header(spark, f"{path}/field_header")["Redshift"] != 0.5:
+        raise RuntimeError("the slice has no header or no marker")
+    rows = products.read_slice(spark, path, ("pos", "vel", "pid", "aux"))
+    roots = F.sqrt(bits.unpack_density(F.col("aux"), 1.0)).cast("long")
+    return rows.groupBy(F.col("slab").cast("int").alias("slab"), bits.test_flag(F.col("aux"), "L0").alias("in_group")).agg(F.count(F.lit(1)).alias("n"), F.sum("pid").alias("pids"), F.round(F.sum("vx"), 5).alias("vx"), F.sum(roots).alias("roots"))
+
+
+@query("""WITH h AS (SELECT l_orderkey AS id, l_orderkey % 12 AS slab, l_orderkey % 12 // 4 AS superslab, count(*) AS npout FROM lineitem GROUP BY 1),
+s AS (SELECT *, coalesce(sum(npout) OVER (PARTITION BY superslab ORDER BY slab, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS npstart FROM h),
+p AS (SELECT l_orderkey AS id, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r FROM lineitem)
+SELECT CAST(superslab AS INTEGER) AS superslab, CAST(npstart + r AS BIGINT) AS place, id, price FROM p JOIN s USING (id)""")
+def superslabs(spark, sf_dir):
+    """Halos and particles put into superslabs, particles at the places that the halos name."""
+    from gravelake.sources import products
+
+    path, line = _folder(spark, "superslabs"), table(spark, sf_dir, "lineitem")
+    h = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("npout")).withColumn("slab", F.col("id") % 12)
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    products.write_superslabs(h, line.select(F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("price"), rank.alias("rank")), path, 4)
+    faults = products.verify(spark, path, products.merged_manifest([products.checksums(spark, f"{path}/{part}", root=path) for part in ("halo_info", "particles")]))
+    if not faults.isEmpty():
+        raise RuntimeError("files changed while nobody wrote")
+    return spark.read.parquet(f"{path}/particles").select("superslab", "place", "id", "price")
+
+
+@query(f"""WITH {P}, s AS (SELECT pid, x, y, z, vx * 0.0004 AS wx, vy * 0.0004 AS wy, vz * 0.0004 AS wz, vx FROM p), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r0, sqrt((x + wx) * (x + wx) + (y + wy) * (y + wy) + (z + wz) * (z + wz)) AS r1 FROM s),
+f AS (SELECT *, (0.45 - r0) / (0.45 - 0.40 - r0 + r1) AS frac FROM r), m AS (SELECT pid, x + wx * frac AS px, vx * 100 AS v FROM f WHERE frac >= 0 AND frac < 1)
+SELECT pid, CAST(greatest(least(round(px * 1000000), 524286), -524286) AS INTEGER) * 4096 | CAST(greatest(least(round((v / 6000 + 1) * 2048), 4095), 0) AS INTEGER) AS px, (SELECT CAST(count(*) AS BIGINT) FROM m) AS mapped FROM m""")
+def light_cone_files(spark, sf_dir):
+    """What a cone met in a step, packed, with its sky map's total."""
+    from gravelake.sources import products
+
+    path = _folder(spark, "cone")
+    p = particles(spark, sf_dir).select("pid", "x", "y", "z", "vx", "vy", "vz", *[(F.col(f"v{c}") * 0.0004).alias(f"w{c}") for c in "xyz"])
+    met = lightcone.crossings(p, 0.45, 0.40).select("pid", "px", "py", "pz", *[(F.col(f"v{c}") * 100).alias(f"v{c}") for c in "xyz"])
+    products.write_light_cone(met, path, 7, {"Redshift": 0.6}, {"Redshift": 0.5})
+    if products.read_header(spark, f"{path}/Step0007/header_write")["Redshift"] != 0.5:
+        raise RuntimeError("the states of the step are not beside it")
+    total = spark.read.parquet(f"{path}/Step0007/heal").agg(F.sum("n").alias("mapped"))
+    return spark.read.parquet(f"{path}/Step0007/rvint").select("pid", "px").join(F.broadcast(total))  # one row
+
+
+@query(f"""WITH {_CUBE}, k AS (SELECT 2 * pi() * sqrt(kx * kx + ky * ky + kz * kz) AS k, power, CASE WHEN kz > 0 AND kz < 4 THEN 2 ELSE 1 END AS t FROM m), b AS (SELECT least(floor(k / 10), 3) AS bin, k, power, t FROM k WHERE k <= 40)
+SELECT bin * 10.0::DOUBLE AS kmin, bin * 10.0::DOUBLE + 10 AS kmax, round(sum(k * t) / sum(t), 8) AS kavg, round(sum(power * t) / sum(t), 8) AS power, CAST(sum(t) AS BIGINT) AS "N_modes" FROM b GROUP BY bin""")
+def spectrum_file(spark, sf_dir):
+    """A power spectrum written as a table with notes, and read again."""
+    from gravelake.sources import products
+
+    path, edges = _folder(spark, "spectrum"), [0.0, 10.0, 20.0, 30.0, 40.0]
+    binned = maps.wedge_histogram(_cube(spark), edges, [0], 1.0, half_z=4)
+    products.write_table(products.spectrum_table(binned, edges), path, "kmin", {"BoxSize": 1.0, "N1D": 8})
+    back = products.read_table(spark, path, "kmin double, kmax double, kavg double, power double, N_modes long")
+    return back.select("kmin", "kmax", F.round("kavg", 8).alias("kavg"), F.round("power", 8).alias("power"), "N_modes")
+
+
+@query("""SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 3 < 2""")
+def concatenated_files(spark, sf_dir):
+    """Files of one kind put together."""
+    from gravelake.sources import products
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return products.concatenated([o.filter("id % 3 = 0"), o.filter("id % 3 = 1")], _folder(spark, "concatenated"), ["id"])

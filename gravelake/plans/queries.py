@@ -517,8 +517,8 @@ def halo_statistics(spark, sf_dir):
     return h.select(F.col("grp").alias("id"), "n", r6(F.col("r100"), "r100"), "r50", "r90", r6(F.col("sigma_r90"), "sigma_r90"))
 
 
-@query(f"""WITH {P}, k AS (SELECT grp, x * x + y * y + z * z AS d2, row_number() OVER (PARTITION BY grp ORDER BY x * x + y * y + z * z) AS m, count(*) OVER (PARTITION BY grp) AS n FROM p),
-c AS (SELECT grp, m, d2, m * 1.0::DOUBLE * m / d2 AS q FROM k WHERE m - 1 >= CASE WHEN n >= 1000 THEN 100 ELSE n // 10 END)
+@query(f"""WITH {P}, k AS (SELECT grp, x * x + y * y + z * z AS d2, row_number() OVER (PARTITION BY grp ORDER BY x * x + y * y + z * z) - 1 AS m, count(*) OVER (PARTITION BY grp) AS n FROM p),
+c AS (SELECT grp, m, d2, m * 1.0::DOUBLE * m / d2 AS q FROM k WHERE m >= CASE WHEN n >= 1000 THEN 100 ELSE n // 10 END)
 SELECT grp AS id, round(sqrt(sqrt(max(q))), 6) AS vmax, round(sqrt(arg_max(d2, q)), 6) AS r_vmax FROM c GROUP BY 1""")
 def circular_velocity(spark, sf_dir):
     """The largest circular velocity of each group and its radius."""

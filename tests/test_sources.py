@@ -93,3 +93,38 @@ def test_parameters(tmp_path):
     assert params.parse_parameters('A = __import__("os").getcwd()')["A"].startswith("__import__")
     with pytest.raises(ValueError):
         params.parse_parameters("A = @B@\nB = @A@")
+
+
+def test_products(spark, tmp_path):
+    from gravelake.sources import products
+
+    path = f"file://{tmp_path}/cat"
+    df = spark.range(50).withColumn("x", F.col("id") * 0.5).repartition(3)
+    df.write.parquet(path)
+    manifest = products.checksums(spark, path).collect()
+    schema = "name string, crc long, size long"
+    known = spark.createDataFrame(manifest, schema)
+    assert len(manifest) == 3 and products.verify(spark, path, known).count() == 0
+    assert products.merged_manifest([known.limit(2), known]).count() == 3
+    changed = spark.createDataFrame([(manifest[0].name, 1, 1), (manifest[1].name, manifest[1].crc, manifest[1].size), ("gone", 5, 5)], schema)
+    assert {(r.name, r.fault) for r in products.verify(spark, path, changed).collect()} == {(manifest[0].name, "changed"), ("gone", "missing"), (manifest[2].name, "foreign")}
+    with pytest.raises(ValueError):
+        products.merged_manifest([known, changed])
+    with pytest.raises(ValueError):
+        products.check_kinds([df, df.select("id")])
+    assert products.packed_column(["a", "pack9"]) == "pack9"
+    for columns in (["a"], ["pid", "rvint"]):
+        with pytest.raises(ValueError):
+            products.packed_column(columns)
+    assert not products.is_finished(spark, path)
+    products.finish(spark, path)
+    assert products.is_finished(spark, path)
+    products.write_header(spark, f"{path}/header", {"Redshift": 0.5, "SimName": "a b"}, "Test")
+    assert products.read_header(spark, f"{path}/header") == {"Redshift": 0.5, "SimName": "a b", "OutputType": "Test"}
+    from gravelake.sources.lattice import lattice
+
+    p = lattice(spark, 4).withColumns({"ax": F.lit(1.0), "ay": F.lit(0.0), "az": F.lit(0.0), "dens": F.lit(4.0), "aux": F.col("pid"), **{f"v{c}": F.lit(1.0) for c in "xyz"}})
+    products.write_time_slice(p, f"{path}/slice", {"Redshift": 1.0}, 2, unkick=0.5)
+    part = products.read_slice(spark, f"{path}/slice", ("vel",), groups="field", keep=F.col("y") < 0)
+    assert part.columns == ["slab", "vx", "vy", "vz"] and part.count() == 32 and part.first().vx == 0.5
+    assert "pid" not in part._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
