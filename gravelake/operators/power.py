@@ -1,13 +1,16 @@
 """Power spectra and correlation functions of gridded fields.
 
 Gridding, binning and combining are DataFrame operations; only the Fourier
-transform runs in one task, on one grid of n**dims cells, whose size the caller
-sets (``MOST_CELLS`` at most) and which does not grow with the particles.
+transform runs in one task, on one grid of n**3 cells, whose size the caller
+sets (``MOST_CELLS`` at most, some 0.6 GB with the transform) and which does not
+grow with the particles.  Cells come into the grid batch by batch, and modes
+leave it plane by plane.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gravelake.operators.maps import tsc_grid, wedge_histogram, which_bin
 
-MOST_CELLS = 512**3
+MOST_CELLS = 256**3
 
 
 def _window(n: int, aliased: bool) -> np.ndarray:
@@ -27,35 +30,38 @@ def _window(n: int, aliased: bool) -> np.ndarray:
     return np.sinc(k / math.pi) ** 6
 
 
-def _array(pdf: pd.DataFrame, n: int, column: str) -> np.ndarray:
-    grid = np.zeros((n, n, n))
-    grid[pdf["ix"], pdf["iy"], pdf["iz"]] = pdf[column]
-    return grid
+def _checked(n: int) -> None:
+    if n**3 > MOST_CELLS:
+        raise ValueError(f"a grid of {n}**3 cells is larger than {MOST_CELLS}")
+
+
+def _filled(frames: Iterator[pd.DataFrame], n: int, columns: tuple[str, ...]) -> list[np.ndarray]:
+    grids = [np.zeros((n, n, n)) for _ in columns]
+    for pdf in frames:
+        for g, c in zip(grids, columns, strict=True):
+            g[pdf["ix"], pdf["iy"], pdf["iz"]] = pdf[c]
+    return grids
 
 
 def modes(grid: DataFrame, n: int, box: float = 1.0, other: DataFrame | None = None, window: bool = True, aliased: bool = True) -> DataFrame:
     """``kx, ky, kz, power`` of the overdensity of ``mass`` (with ``other``: of the cross spectrum), kz >= 0."""
-    if n**3 > MOST_CELLS:
-        raise ValueError(f"a grid of {n}**3 cells is larger than {MOST_CELLS}")
-    rows = grid.select("ix", "iy", "iz", F.col("mass").alias("a"), F.lit(0.0).alias("b"))
+    _checked(n)
+    rows = grid.select("ix", "iy", "iz", F.col("mass").alias("a"))
     if other is not None:
-        rows = rows.unionByName(other.select("ix", "iy", "iz", F.lit(0.0).alias("a"), F.col("mass").alias("b"))).groupBy("ix", "iy", "iz").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    cross = other is not None
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        fields = []
-        for c in ("a", "b") if cross else ("a",):
-            g = _array(pdf, n, c)
-            fields.append(np.fft.rfftn(g / g.mean() - 1))
-        power = (fields[0] * fields[-1].conj()).real * (box**3 / n**6)
-        if window:
-            w = _window(n, aliased)
-            power /= w[:, None, None] * w[None, :, None] * w[None, None, : n // 2 + 1]
+        rows = rows.withColumn("b", F.lit(0.0)).unionByName(other.select("ix", "iy", "iz", F.lit(0.0).alias("a"), F.col("mass").alias("b"))).groupBy("ix", "iy", "iz").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    columns = ("a", "b") if other is not None else ("a",)
+
+    def transform(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = [np.fft.rfftn(g / g.mean() - 1) for g in _filled(frames, n, columns)]
+        w = _window(n, aliased) if window else np.ones(n)
         k = (np.fft.fftfreq(n) * n).astype(np.int64)
-        kx, ky, kz = np.meshgrid(k, k, np.arange(n // 2 + 1), indexing="ij")
-        return pd.DataFrame({"kx": kx.ravel(), "ky": ky.ravel(), "kz": kz.ravel(), "power": power.ravel()})
+        half = n // 2 + 1
+        ky, kz = (v.ravel() for v in np.meshgrid(k, np.arange(half), indexing="ij"))
+        for i in range(n):
+            power = (fields[0][i] * fields[-1][i].conj()).real * (box**3 / n**6) / (w[i] * w[:, None] * w[None, :half])
+            yield pd.DataFrame({"kx": k[i], "ky": ky, "kz": kz, "power": power.ravel()})
 
-    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(transform, "kx bigint, ky bigint, kz bigint, power double")
+    return rows.repartition(1).mapInPandas(transform, "kx bigint, ky bigint, kz bigint, power double")
 
 
 def bin_edges(n: int, box: float = 1.0, bins: int | None = None) -> list[float]:
@@ -73,15 +79,18 @@ def power_spectrum(particles: DataFrame, n: int, box: float = 1.0, edges: list[f
 def correlation(grid: DataFrame, n: int, edges: list[float], box: float = 1.0) -> DataFrame:
     """``bin, n, r, xi``: the two-point function from the inverse transform of the power."""
 
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _array(pdf, n, "mass")
+    _checked(n)
+
+    def transform(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (g,) = _filled(frames, n, ("mass",))
         f = np.fft.rfftn(g / g.mean() - 1)
         xi = np.fft.irfftn(f * f.conj(), s=(n, n, n), axes=(0, 1, 2)) / n**3
         i = (np.fft.fftfreq(n) * n).astype(np.int64)
-        x, y, z = np.meshgrid(i, i, i, indexing="ij")
-        return pd.DataFrame({"r": np.sqrt(x * x + y * y + z * z).ravel() * (box / n), "xi": xi.ravel()})
+        y2 = i[:, None] ** 2 + i[None, :] ** 2
+        for x in range(n):
+            yield pd.DataFrame({"r": np.sqrt(i[x] ** 2 + y2).ravel() * (box / n), "xi": xi[x].ravel()})
 
-    lags = grid.select("ix", "iy", "iz", "mass").groupBy(F.lit(0).alias("one")).applyInPandas(transform, "r double, xi double")
+    lags = grid.select("ix", "iy", "iz", "mass").repartition(1).mapInPandas(transform, "r double, xi double")
     return lags.withColumn("bin", which_bin(F.col("r"), edges)).filter("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("r"), F.avg("xi").alias("xi"))
 
 

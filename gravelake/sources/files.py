@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -92,16 +93,16 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.crc32("content").alias("crc"), F.col("length").alias("size"))
 
 
-def by_slab(particles: DataFrame, path: str, cpd: int, box: float = 1.0) -> int:
-    """Write particles in folders by slab; the rows written are counted again and returned."""
+def by_slab(particles: DataFrame, path: str, cpd: int, box: float = 1.0, expected: int | None = None) -> int:
+    """Write particles in folders by slab; the rows written are counted (and must be ``expected``) and returned."""
     from gravelake.functions.geometry import slab
 
     rows = particles.withColumn("slab", slab(F.col("x"), cpd, box))
     # A slab may be spread over many tasks: rows of a dense one are dealt by a hash as well.
     rows.repartition("slab", F.pmod(F.xxhash64("pid"), F.lit(8))).sortWithinPartitions("slab").write.mode("overwrite").partitionBy("slab").parquet(path)
     written = particles.sparkSession.read.parquet(path).count()
-    if written != particles.count():
-        raise RuntimeError(f"{written} rows written to {path}")
+    if expected is not None and written != expected:
+        raise RuntimeError(f"{written} of {expected} rows written to {path}")
     return written
 
 
@@ -119,6 +120,10 @@ class RecordFiles(DataSource):
         return _RecordWriter(self.options)
 
 
+#: Rows that a task encodes at once; packed records are in the order of cells inside a block.
+_BLOCK = 1 << 16
+
+
 class _Message(WriterCommitMessage):
     def __init__(self, path: str, rows: int):
         self.path, self.rows = path, rows
@@ -131,21 +136,20 @@ class _RecordWriter(DataSourceWriter):
     def write(self, iterator) -> _Message:
         from pyspark import TaskContext
 
-        rows = list(iterator)
         ctx = TaskContext.get()
         folder, record = self.options["path"].removeprefix("file://"), self.options.get("record", "rvdouble")
-        names = rows[0].__fields__ if rows else []
-        columns = {n: np.array([r[n] for r in rows]) for n in names}
-        if record in ("pack9", "pack14"):
-            content = codecs.encode_packed(columns, int(record[4:]), int(self.options["cpd"]), int(self.options.get("velocityscale", 1))) if rows else b""
-        else:
-            content = codecs.encode_fixed(columns, record) if rows else b""
         os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"part-{ctx.partitionId():05d}.{record}")
+        path, n = os.path.join(folder, f"part-{ctx.partitionId():05d}.{record}"), 0
         with open(f"{path}.{ctx.taskAttemptId()}", "wb") as f:
-            f.write(content)
+            for rows in iter(lambda: list(islice(iterator, _BLOCK)), []):
+                columns = {c: np.array([r[c] for r in rows]) for c in rows[0].__fields__}
+                if record in ("pack9", "pack14"):
+                    f.write(codecs.encode_packed(columns, int(record[4:]), int(self.options["cpd"]), int(self.options.get("velocityscale", 1))))
+                else:
+                    f.write(codecs.encode_fixed(columns, record))
+                n += len(rows)
         os.replace(f"{path}.{ctx.taskAttemptId()}", path)  # a second attempt replaces the first as a whole
-        return _Message(path, len(rows))
+        return _Message(path, n)
 
     def commit(self, messages) -> None:
         return None

@@ -268,6 +268,23 @@ def test_merging(spark):
     assert sorted((r.halo, r.new_start) for r in put.collect()) == [(1, 0), (2, 5)]
 
 
+def test_groups_over_batches(spark):
+    """Groups of one to thirty rows in batches of four: each is seen whole, once."""
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [(g, i) for g in range(60) for i in range(rng.choice([1, 2, 3, 4, 5, 30]))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        one = lambda pdf: pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(pdf)], "total": [int(pdf["i"].sum())]})
+        got = halos.by_groups(spark.createDataFrame(rows, "g long, i long"), "g", "i", one, "g long, n long, total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sizes = {g: sum(r[0] == g for r in rows) for g in range(60)}
+    assert sorted((r.g, r.n, r.total) for r in got) == [(g, n, n * (n - 1) // 2) for g, n in sizes.items()]
+
+
 def test_greedy_shells(spark):
     fold = lambda widths, target: [r.g for r in ordered.carried_groups(spark.createDataFrame([(i, float(w)) for i, w in enumerate(widths)], "i long, w double"), "i", "w", target, "g").orderBy("i").collect()]
     assert fold([1, 2, 1, 2], 2.0) == [0, 0, 1, 2]
