@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialise, new_path, text_columns
+from ._store import finished, materialise, new_path, scratch, text_columns
 
 #: Buckets of a new index.  Fixed for the index's life; 4096 suits some 10**11 digests.
 BUCKETS = 64
@@ -109,9 +109,10 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, buckets: int = B
 def keep_first(docs: DataFrame, index_path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The input's rows, with all their columns, one for each text that the index lacked."""
     spark = docs.sparkSession
-    found = exact_dedup(docs, index_path, buckets)
     lowest = F.lit(-(1 << 63))
-    stay = found.filter("kept").select(F.coalesce("doc_id", lowest).alias("__gl_id"), F.unhex("text_sha256").alias("__gl_digest"))
+    with scratch(spark):
+        found = exact_dedup(docs, index_path, buckets)
+        stay = finished(found.filter("kept").select(F.coalesce("doc_id", lowest).alias("__gl_id"), F.unhex("text_sha256").alias("__gl_digest")), "staying")
     marked = docs.withColumns({"__gl_id": F.coalesce("doc_id", lowest), "__gl_digest": digest(F.col("text"))})
     # The id is part of the key, so the many rows of a hot digest go to many tasks.
     return marked.join(stay, ["__gl_id", "__gl_digest"], "left_semi").dropDuplicates(["__gl_id", "__gl_digest"]).select(*docs.columns)

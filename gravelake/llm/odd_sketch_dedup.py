@@ -12,8 +12,9 @@
    candidate of each node, then what still joins different components.
 4. Buckets that still hold several components may have links that no hub
    shows (not those of two members, or of three with two hubs: their pairs all
-   have a hub).  Their members are compared across components by a prefix
-   filter: each set's shingles are ordered by how often they occur, those that
+   have a hub).  Up to ``SMALL`` members their sketches are compared.  Members of
+   larger buckets are compared across components by a prefix filter: each set's
+   shingles are ordered by how often they occur, those that
    one component has alone before all others, and two sets that are similar
    enough share one of the first ``n - ceil(s * n) + 1``, at places that leave
    enough room behind them.  Sizes, places and sketches are tested inside that
@@ -47,6 +48,10 @@ WORDS, BANDS, ROWS = 5, 24, 4
 #: Bits of an Odd Sketch, kept as 64-bit integers.
 SKETCH = 512
 _BLOCK = 1024
+#: Members up to which the pairs of a bucket are compared by sketch.
+SMALL = 64
+#: Rows (24 bytes each) up to which the documents whose sets are wanted are broadcast to the texts; beyond that both are shuffled.
+MOST_WANTED = 1 << 18
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -169,7 +174,8 @@ def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat.view(np.int64)))], names=["id", "shingles"])
 
-    texts = source.join(needed.withColumnRenamed("doc_id", "own"), (source["text_key"] == needed["text_key"]) & source["doc_id"].eqNullSafe(F.col("own"))).select("id", "text")
+    wanted = needed.withColumnRenamed("doc_id", "own")
+    texts = source.join(F.broadcast(wanted) if needed.count() <= MOST_WANTED else wanted, (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(F.col("own"))).select("id", "text")
     sets = materialise(texts.mapInArrow(full_sets, "id bigint, shingles array<bigint>"), "sets")
     if sets.count() > needed.count():  # rows repeated with id and text
         sets = materialise(sets.dropDuplicates(["id"]), "sets")
@@ -200,9 +206,13 @@ def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int)
     within = materialise(shared.select("id", "bucket").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "bucket", F.coalesce("label", F.xxhash64("id")).alias("label")), "within")
 
     mixed = within.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("bucket")
-    unseen = hubs.filter("size > 3 or size = 3 and h1 = h2").select("bucket")
-    members = within.join(materialise(mixed.join(unseen, "bucket", "left_semi"), "mixed"), "bucket", "left_semi")
-    members = materialise(members.select("id", "label").distinct().join(reps.select("id", "n", "sketch"), "id"), "members")
+    unseen = hubs.filter("size > 3 or size = 3 and h1 = h2").select("bucket", "size")
+    open_buckets = materialise(mixed.join(unseen, "bucket"), "open-buckets")
+    inside = materialise(within.join(open_buckets, "bucket").join(reps.select("id", "n", "sketch"), "id"), "inside")
+    sides = [inside.filter(F.col("size") <= SMALL).withColumnsRenamed({"id": x, "label": f"l{x}", "n": f"n{x}", "sketch": f"s{x}"}).drop("size") for x in "ab"]
+    close = similar_size & (F.col("la") < F.col("lb")) & (_apart("sa", "sb", longs) <= far)
+    in_small = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & close).select("a", "b")
+    members = materialise(inside.filter(F.col("size") > SMALL).select("id", "label", "n", "sketch").dropDuplicates(["id"]), "members")
     flat = materialise(sets.join(members.select("id", "label"), "id").select("id", "label", F.explode("shingles").alias("shingle")), "member-shingles")
     common = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
     met = flat.select("id", "shingle").join(materialise(common.select("shingle", "often"), "common-shingles"), "shingle")
@@ -214,8 +224,9 @@ def _labelled(docs: DataFrame, words: int, percent: int, bands: int, rows: int)
     left = prefixes.withColumnsRenamed({"id": "a", "label": "la", "n": "na", "place": "pa", "sketch": "sa"})
     right = prefixes.withColumnsRenamed({"id": "b", "label": "lb", "n": "nb", "place": "pb", "sketch": "sb"})
     room = F.expr(f"1 + least(na - pa, nb - pb) >= ({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    across = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("la") < F.col("lb")) & similar_size & room & (_apart("sa", "sb", longs) <= far))
-    labels = components(materialise(confirmed(materialise(across.select("a", "b").distinct(), "across")), "links"), labels)
+    in_large = left.join(right, (left["shingle"] == right["shingle"]) & close & room).select("a", "b")
+    across = materialise(in_small.union(in_large).distinct(), "across")
+    labels = components(materialise(confirmed(across), "links"), labels)
 
     # Every node's component, then every row's.
     known = nodes.select(F.col("rep").alias("node"), "least")

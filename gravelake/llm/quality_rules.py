@@ -54,6 +54,8 @@ _P = len(FLOORS)
 _BINS = 64  # distance bins in a factor of e
 #: Groups whose parameters (24 numbers each, for two starts) are broadcast, 8 MB at most; parts of a group beyond that.
 MOST_GROUPS, SALTS = 20_000, 32
+#: Rejected rows that are broadcast, 8 bytes each: 8 MB at most.
+MOST_REJECTED = 1 << 20
 
 
 def chi2_cdf(x: float, df: int) -> float:
@@ -279,17 +281,24 @@ def judge(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -
         return finished(found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"), "verdicts")
 
 
-def keep_good(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS) -> DataFrame:
+def _identity() -> Column:
+    """What tells rows apart: equal rows, and only those, get equal numbers (of 64 bits) and verdicts."""
+    return F.xxhash64(*[F.coalesce(F.hex(F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "lang", "source")], F.coalesce("text", F.lit("")))
+
+
+def keep_good(docs: DataFrame, tail: float = TAIL, most_groups: int = MOST_GROUPS, most_rejected: int = MOST_REJECTED) -> DataFrame:
     """The input's rows, all columns, without those that ``judge`` rejects.
 
-    Rows are stored with their statistics and judged there, so that texts are
-    neither joined by id nor, up to ``most_groups`` groups, shuffled.
+    Up to ``most_rejected`` rejected rows are broadcast as numbers of 64 bits; beyond that both sides are shuffled by them.
     """
-    text_columns(docs, "doc_id")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    source = text_columns(docs, "doc_id", "text", "lang", "source")
     with scratch(docs.sparkSession):
-        rows = finished(_measured(whole), "measured")
-        return _verdicts(rows, tail, most_groups).filter("kept").select("row.*")
+        rows = materialise(_measured(source.withColumn("row", _identity())), "statistics")
+        with scratch(docs.sparkSession):
+            found = _verdicts(rows, tail, most_groups)
+        bad = finished(found.filter("not kept").select(F.col("row").alias("__gl_row")).distinct(), "rejected")
+    few = bad.count() <= most_rejected
+    return docs.withColumn("__gl_row", _identity()).join(F.broadcast(bad) if few else bad, "__gl_row", "left_anti").select(*docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

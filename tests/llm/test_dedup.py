@@ -3,6 +3,8 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
+
 from gravelake.llm import exact_dedup, odd_sketch_dedup
 from gravelake.llm._store import new_path
 
@@ -98,8 +100,11 @@ def test_near(odd):
     assert got == want
 
 
-def test_chain_of_edits(spark):
-    """A long chain in which only neighbours are alike: hubs alone would miss links."""
+@pytest.mark.parametrize("small", [64, 3])
+def test_chain_of_edits(spark, monkeypatch, small):
+    """A long chain in which only neighbours are alike: hubs alone would miss links, which sketches or prefixes must find."""
+    monkeypatch.setattr(odd_sketch_dedup, "SMALL", small)
+    monkeypatch.setattr(odd_sketch_dedup, "MOST_WANTED", 10 if small == 3 else 1 << 18)  # texts shuffled, or not
     words = [f"w{i}" for i in range(900)]
     rows = [(7 * i % 101, " ".join(words[4 * i : 4 * i + 100])) for i in range(101)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

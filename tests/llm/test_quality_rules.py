@@ -156,3 +156,5 @@ def test_rows_that_share_an_id(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(good)] + [(1, "one", "en", "s"), (None, "two", "en", "s"), (None, good[0], "en", "s"), (None, None, None, None)]
     kept = q.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert len(kept) == 41 and {r.text for r in kept} == set(good)
+    shuffled = q.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), most_rejected=0).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, kept))
