@@ -28,11 +28,12 @@ def _moments(rows: DataFrame, by: str) -> DataFrame:
     d2 = sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"), F.lit(0.0))
     v2 = sum((F.col(f"dv{c}") * F.col(f"dv{c}") for c in "xyz"), F.lit(0.0))
     rows = rows.withColumns({"d2": d2, "v2": v2})
-    ranked = rows.select(by, "n", "d2").withColumn("p", F.row_number().over(Window.partitionBy(by).orderBy("d2")) - 1)
+    ranked = rows.withColumn("p", F.row_number().over(Window.partitionBy(by).orderBy("d2")) - 1)
     curve = F.when(F.expr("p >= case when n < 1000 then n div 10 else 100 end and d2 > 0"), F.struct((F.col("p").cast("double") * F.col("p") / F.col("d2")).alias("v4"), (-F.col("d2")).alias("m")))
-    at = [F.expr(f"max(case when p = n * {p} div {q} then d2 end)").alias(f"q_{name}") for name, (p, q) in RANKS.items()]
-    radii = ranked.groupBy(by).agg(F.max("d2").alias("q_r100"), *at, F.max(curve).alias("curve"))
-    joined = rows.join(radii, by)
+    # In the same pass: distances computed anew would differ in the last bit from the radius that they are compared with.
+    group = Window.partitionBy(by)
+    at = {f"q_{name}": F.max(F.expr(f"case when p = n * {p} div {q} then d2 end")).over(group) for name, (p, q) in RANKS.items()}
+    joined = ranked.withColumns({"q_r100": F.max("d2").over(group), **at, "curve": curve})
     inside, half = F.col("d2") < F.col("q_r90"), F.col("d2") < F.col("q_r50")
     unit = {c: F.col(f"d{c}") / F.sqrt(F.col("d2") + 1e-20) for c in "xyz"}
     along = sum((F.col(f"dv{c}") * unit[c] for c in "xyz"), F.lit(0.0))
@@ -41,7 +42,7 @@ def _moments(rows: DataFrame, by: str) -> DataFrame:
     sums = [share(vector[t][p[0]] * vector[t][p[1]], inside, "* 9 div 10").alias(f"{t}{p}") for t in _TENSORS for p in _PARTS]
     sums += [share(along * along, inside, "* 9 div 10").alias("vrr"), (share(F.col("v2") - along * along, inside, "* 9 div 10") / 2).alias("vtt"), share(F.sqrt("v2"), inside, "* 9 div 10").alias("speed")]
     sums += [share(F.sqrt("v2"), half, "div 2").alias("speed_r50"), share(F.col("v2"), half, "div 2").alias("square_r50")]
-    return joined.groupBy(by).agg(*sums).join(radii, by)
+    return joined.groupBy(by).agg(*sums, F.max("curve").alias("curve"), *[F.first(c).alias(c) for c in ("q_r100", *at)])
 
 
 def about_centre(rows: DataFrame, by: str, suffix: str) -> DataFrame:
