@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gravelake.storage import stored
+
 #: Fixed values of the matching: share of a candidate that must be recovered, smallest halo, tags, particles left.
 SHARE, MIN_SIZE, MIN_TAGGED, LOWEST = 0.49, 50, 5, 2
+#: Candidates whose sizes are broadcast at most.
+FEW = 20_000
 
 
-def associations(earlier: DataFrame, later: DataFrame, near: DataFrame) -> DataFrame:
-    """``halo, prog, n, rho, dist`` of particles that a halo shares with candidates near it.
+def associations(earlier: DataFrame, later: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """``halo, prog, n, rho, dist`` of particles that a halo shares with candidates near it; without ``near`` all candidates, without ``dist``.
 
     ``earlier``: ``prog, pid``; ``later``: ``halo, pid, rho``; ``near``: ``halo, prog, dist``.
+    Shared particles are dealt by halo, where what follows needs them.
     """
-    shared = later.join(earlier, "pid").groupBy("halo", "prog").agg(F.count(F.lit(1)).alias("n"), F.sum("rho").alias("rho"))
-    return shared.join(near, ["halo", "prog"])
+    shared = later.join(earlier, "pid").repartition("halo").groupBy("halo", "prog").agg(F.count(F.lit(1)).alias("n"), F.sum("rho").alias("rho"))
+    return shared if near is None else shared.join(near, ["halo", "prog"])
 
 
 def claimed_progenitors(shared: DataFrame, lowest: int = LOWEST) -> DataFrame:
@@ -40,7 +45,9 @@ def progenitor_lists(shared: DataFrame, sizes: DataFrame, lowest: int = LOWEST,
     order = Window.partitionBy("halo").orderBy("dist", "prog").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("n").over(Window.partitionBy("halo"))
     live = shared.withColumn("left", total - F.coalesce(F.sum("n").over(order), F.lit(0))).filter(F.col("left") >= lowest)
-    rows = live.join(sizes.filter(F.col("n_tagged") > lowest), "prog").withColumn("frac", F.col("n") / F.col("n_tagged"))
+    sizes = stored(sizes.filter(F.col("n_tagged") > lowest), "sizes")
+    few = F.broadcast(sizes) if sizes.count() <= FEW else sizes  # checked: rows that are dealt by halo stay where they are
+    rows = live.join(few, "prog").withColumn("frac", F.col("n") / F.col("n_tagged"))
     best = F.max(F.struct("rho", (-F.col("dist")).alias("d"), (-F.col("prog")).alias("p"), "frac")).alias("x")
     out = rows.groupBy("halo").agg(F.sort_array(F.collect_list(F.when(F.col("frac") >= share, F.col("prog")))).alias("progenitors"), best)
     main = -F.col("x.p")
@@ -95,14 +102,22 @@ def merge_targets(cleaned: DataFrame, near: DataFrame, peaks: DataFrame) -> Data
     ``cleaned``: ``id, id_peak, main_prog, lost``; ``near``: ``id, other, place``
     (the halo itself included); ``peaks``: ``other, mass, other_peak, progenitors``.
     """
-    rows = cleaned.join(near, "id").join(peaks, "other")
-    first = F.struct("mass", (-F.col("place")).alias("p"), "other", "place")
+    return chosen_targets(cleaned.join(near, "id").join(peaks, "other"), ["place"], ["id"])
+
+
+def chosen_targets(rows: DataFrame, place: list[str], by: list[str]) -> DataFrame:
+    """``id, target`` from rows that have what ``merge_targets`` joins; ``place``: numbers that order a halo's neighbours.
+
+    ``by`` ends with ``id``; keys before it, by which rows are dealt already, save their shuffle.
+    """
+    back = F.struct(*[(-F.col(c)).alias(c) for c in place])
+    first = F.struct("mass", back.alias("p"), "other")
     same = F.max(F.when(F.col("other_peak") == F.col("id_peak"), first)).alias("same")
     lists = (F.col("other") != F.col("id")) & F.array_contains("progenitors", F.col("main_prog"))
-    by_list = F.min(F.when(lists, F.struct("place", "other"))).alias("by_list")
-    found = rows.groupBy("id").agg(same, by_list, F.max(first).alias("top"), F.first("lost").alias("lost"))
-    by_mass = F.when(F.col("top.mass") >= F.col("lost"), F.struct(F.col("top.place").alias("place"), F.col("top.other").alias("other")))
-    other = F.least("by_list", by_mass)["other"]  # the one that comes first; nulls are skipped
+    by_list = F.max(F.when(lists, F.struct(back.alias("p"), "other"))).alias("by_list")
+    found = rows.groupBy(*by).agg(same, by_list, F.max(first).alias("top"), F.first("lost").alias("lost"))
+    by_mass = F.when(F.col("top.mass") >= F.col("lost"), F.struct(F.col("top.p").alias("p"), F.col("top.other").alias("other")))
+    other = F.greatest("by_list", by_mass)["other"]  # the one that comes first; nulls are skipped
     return found.select("id", F.when(F.col("same.other") != F.col("id"), F.col("same.other")).otherwise(other).alias("target")).filter("target is not null")
 
 
