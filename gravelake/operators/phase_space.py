@@ -3,30 +3,47 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gravelake.operators.neighbours import pairs_within
+from gravelake.operators.blocks import WIDTH, Meetings, in_blocks, meet
+from gravelake.operators.neighbours import MOST_CELLS, pairs_within
+
+#: Rows of a task of ``child_totals``.
+ROWS = 1_000_000
 
 
 def phase_space_links(members: DataFrame, by: str, link: float) -> DataFrame:
     """Pairs ``by, a, b`` of one group nearer than ``link`` in positions and velocities scaled by the group's dispersions.
 
-    Cells are as wide as the link in scaled position; the velocity part of the
-    distance is tested inside them.
+    Cells are as wide as the link in scaled position, in blocks of each group;
+    the velocity part of the distance is tested inside them.
     """
+    axes, half = ("x", "y", "z", "vx", "vy", "vz"), MOST_CELLS // 2
     sd = members.groupBy(by).agg(F.sqrt((F.var_pop("x") + F.var_pop("y") + F.var_pop("z")) / 3).alias("sx"), F.sqrt((F.var_pop("vx") + F.var_pop("vy") + F.var_pop("vz")) / 3).alias("sv"))
-    s = members.join(sd, by).select(by, "pid", *[(F.col(c) / F.when(F.col("sx") > 0, F.col("sx")).otherwise(1)).alias(c) for c in "xyz"], *[(F.col(f"v{c}") / F.when(F.col("sv") > 0, F.col("sv")).otherwise(1)).alias(f"v{c}") for c in "xyz"])
-    cells = s.withColumns({f"c{c}": F.floor(F.col(c) / link).cast("long") for c in "xyz"})
-    around = F.array(*[F.lit(o) for o in (-1, 0, 1)])
-    other = cells.select(by, F.col("pid").alias("b"), *[F.col(c).alias(f"o{c}") for c in ("x", "y", "z", "vx", "vy", "vz")], *[f"c{c}" for c in "xyz"])
-    for c in "xyz":
-        other = other.withColumn("__o", F.explode(around)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("__o")).drop("__o")
-    d2 = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in ("x", "y", "z", "vx", "vy", "vz")), F.lit(0.0))
-    return cells.join(other, [by, "cx", "cy", "cz"]).filter("pid < b").filter(d2 < link * link).select(by, F.col("pid").alias("a"), "b")
+    scaled = lambda c, s: F.col(c) / F.when(F.col(s) > 0, F.col(s)).otherwise(1)
+    s = members.join(sd, by).select(by, "pid", *[scaled(c, "sx").alias(c) for c in "xyz"], *[scaled(f"v{c}", "sv").alias(f"v{c}") for c in "xyz"])
+    # The cell of 0 is in the middle of a block; cells very far off come round, and the distance tells them apart.
+    cells = tuple(F.pmod(F.floor(F.col(c) / link) + half + WIDTH // 2, F.lit(MOST_CELLS)) for c in "xyz")
+    rows = in_blocks(s.filter(" and ".join(f"{c} is not null" for c in (by, "pid", *axes))), cells, F.lit(MOST_CELLS))
+
+    def work(m: Meetings) -> Iterator[dict]:
+        for part, left, right, d2, _ in m.distances(None):
+            ok = np.flatnonzero(d2 < link * link)
+            left, right, d2 = left[ok] + part.start, right[ok], d2[ok]
+            for c in ("vx", "vy", "vz"):
+                d = m.left[c][left] - m.right[c][right]
+                d2 += d * d
+            a, b = m.left["pid"][left], m.right["pid"][right]
+            once = np.flatnonzero((d2 < link * link) & ((a < b) | ((a != b) & (m.left.cell[left] != m.right.cell[right]))))
+            yield {by: m.left.take(by, left[once]), "a": np.minimum(a[once], b[once]), "b": np.maximum(a[once], b[once])}
+
+    kind = lambda c: members.schema[c].dataType.simpleString()
+    return meet(rows, work, f"{by} {kind(by)}, a {kind('pid')}, b {kind('pid')}", half=True, group=by)
 
 
 def basic_properties(members: DataFrame, by: str) -> DataFrame:
@@ -134,13 +151,16 @@ def child_totals(parents: DataFrame) -> DataFrame:
     unlisted = given.select(F.col("up").alias("id")).distinct().filter("id is not null").join(given, "id", "left_anti")
     now = stored(given.unionByName(unlisted, allowMissingColumns=True), "totals")
     most, span = now.count(), 1
+    # Tasks of a bounded number of rows, however large the tree is; adaptive execution leaves a number that is given.
+    parts = max(int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / ROWS))
     while not now.filter("up is not null").isEmpty():
         if span > most:
             raise ValueError("the parents form a cycle")
-        below = now.filter("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("total").alias("more"))
-        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        total = F.coalesce(F.col("total") + F.col("more"), "total", "more").alias("total")
-        now = stored(now.join(below, "id", "left").join(ahead, "up", "left").select("id", F.col("up2").alias("up"), total), "totals")
+        below = now.filter("up is not null").select(F.col("up").alias("id"), "total").repartition(parts, "id").groupBy("id").agg(F.sum("total").alias("more"))
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("up2")).repartition(parts, "up")
+        total = F.coalesce(F.col("total") + F.col("more"), "total", "more")
+        totals = now.repartition(parts, "id").join(below, "id", "left").select("id", "up", total.alias("total"))
+        now = stored(totals.repartition(parts, "up").join(ahead, "up", "left").select("id", F.col("up2").alias("up"), "total"), "totals")
         span *= 2
     return now.select("id", "total")
 
