@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gravelake.functions import bits
 from gravelake.functions.geometry import wrap_origin
 from gravelake.operators.neighbours import in_box
+from gravelake.operators.ordered import numbered
 from gravelake.sources.files import by_slab
+from gravelake.storage import stored
+
+#: Rows of a task of ``transposed``.
+ROWS = 1_000_000
 
 
 def reindexed(halos: DataFrame, starts: dict[str, str], file: str = "file", order: str = "id") -> DataFrame:
@@ -41,9 +48,19 @@ def zel_to_absolute(rows: DataFrame, ppd: int, box: float) -> DataFrame:
 
 
 def transposed(particles: DataFrame, slab: str = "slab", name: str = "place") -> DataFrame:
-    """The rows of every slab file numbered with the last lattice axis slowest (z, x, y); coordinates are untouched."""
-    axes = [bits.lattice(F.col("pid"), a) for a in (2, 0, 1)]
-    return particles.withColumn(name, F.row_number().over(Window.partitionBy(slab).orderBy(*axes)).cast("long") - 1)
+    """The rows of every slab file numbered with the last lattice axis slowest (z, x, y); coordinates are untouched.
+
+    Numbers run over all slabs in ranges of at most about ``ROWS`` rows, less
+    what lies before a slab: no task sorts a whole slab.  Identifiers are unique.
+    """
+    axes = {f"__{a}": bits.lattice(F.col("pid"), a) for a in (2, 0, 1)}
+    rows = stored(particles.withColumns(axes), "transposed")
+    parts = max(int(particles.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / ROWS))
+    placed = numbered(rows, [slab, *axes], name, parts)
+    sizes = rows.groupBy(slab).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(slab).rowsBetween(Window.unboundedPreceding, -1)  # one row for each slab file
+    starts = sizes.select(F.col(slab).alias("__slab"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), F.col(slab).eqNullSafe(F.col("__slab"))).select(*particles.columns, (F.col(name) - F.col("__start")).alias(name))
 
 
 def merger_input(halos: DataFrame, particle_mass: float) -> DataFrame:
