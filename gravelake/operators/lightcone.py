@@ -16,8 +16,11 @@ def crossings(particles: DataFrame, r_max: float, r_min: float, origin: tuple[fl
     end = [s + F.col(f"w{c}") for s, c in zip(start, "xyz", strict=True)]
     r0 = F.sqrt(start[0] * start[0] + start[1] * start[1] + start[2] * start[2])
     r1 = F.sqrt(end[0] * end[0] + end[1] * end[1] + end[2] * end[2])
-    frac = (F.lit(r_max) - r0) / (F.lit(r_max) - F.lit(r_min) - r0 + r1)
-    met = particles.withColumn("frac", frac).filter("frac >= 0 and frac < 1")
+    radii = particles.drop("frac").withColumns({"__r0": r0, "__r1": r1})
+    frac = (F.lit(r_max) - F.col("__r0")) / (F.lit(r_max) - F.lit(r_min) - F.col("__r0") + F.col("__r1"))
+    # A filter on a plain column would move below it, with everything ``frac`` comes from written out at each
+    # use: code too long for the JVM to compile.  It does not move below a generator, here of one row each.
+    met = radii.select("*", F.inline(F.array(F.struct(frac.alias("frac"))))).drop("__r0", "__r1").filter("frac >= 0 and frac < 1")
     return met.withColumns({f"p{c}": F.col(c) + F.col(f"w{c}") * F.col("frac") for c in "xyz"})
 
 

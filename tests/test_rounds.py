@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gravelake.operators import phase_space
+from gravelake.operators import lightcone, phase_space
 from gravelake.plans import catalogues
 from gravelake.plans import queries as q
 from tests.test_queries import comparable
@@ -51,3 +51,13 @@ def test_tasks_stay_small(spark, monkeypatch):
     placed = catalogues.transposed(spark.range(60).select(F.expr("id * 7 % 60").alias("pid"), F.lit(1).alias("slab")))
     assert parts == [30]
     assert {r.pid: r.place for r in placed.collect()} == {i: i for i in range(60)}
+
+
+def test_crossings_are_computed_once(spark, sf_dir):
+    """Both distances of a crossing stand in the plan once: a filter that repeats them is too long to be compiled."""
+    assert q.QUERIES["light_cone"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("SQRT(") == 2
+    rows = [(1, 0.43, 0.0), (2, None, 0.0), (3, 0.39, 0.0), (4, 0.43, 9.0)]
+    p = spark.createDataFrame(rows, "pid long, x double, frac double").withColumns({c: F.lit(0.0) for c in ("y", "z", "wx", "wy", "wz")})
+    met = lightcone.crossings(p, 0.45, 0.40)
+    assert {r.pid: round(r.frac, 9) for r in met.collect()} == {1: 0.4, 4: 0.4}
+    assert set(met.columns) == {"pid", "frac", *[k + c for c in "xyz" for k in ("", "w", "p")]}
