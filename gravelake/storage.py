@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -28,3 +29,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def narrowed(totals: DataFrame, column: str, name: str) -> DataFrame:
+    """``totals``, stored, with its whole decimals ``column`` as LONG if all of them fit, else as DECIMAL(38, 0)."""
+    kept = stored(totals.withColumn(column, F.col(column).cast("decimal(38,0)")), name)
+    wide = kept.filter(~F.col(column).between(F.lit(-(1 << 63)), F.lit((1 << 63) - 1)))
+    return kept.withColumn(column, F.col(column).cast("long")) if wide.isEmpty() else kept

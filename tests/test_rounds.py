@@ -61,3 +61,21 @@ def test_crossings_are_computed_once(spark, sf_dir):
     met = lightcone.crossings(p, 0.45, 0.40)
     assert {r.pid: round(r.frac, 9) for r in met.collect()} == {1: 0.4, 4: 0.4}
     assert set(met.columns) == {"pid", "frac", *[k + c for c in "xyz" for k in ("", "w", "p")]}
+
+
+@pytest.mark.parametrize("rows,kind", [(150_000, "decimal(38,0)"), (60_000, "bigint")])
+def test_totals_of_identifiers_are_exact(spark, tmp_path, rows, kind):
+    """Where the SQL has totals they are LONG as there; where one does not fit, the SQL fails and they are exact."""
+    con, sql = duckdb.connect(), q.ORACLE["time_slice"]
+    con.sql(f"""copy (select 524287::bigint as l_orderkey, i % 30000 as l_partkey, 7::bigint as l_suppkey, 1::integer as l_linenumber, 30.0::double as l_quantity,
+      0.05::double as l_discount, 0.02::double as l_tax, 900.0::double as l_extendedprice from range({rows}) r(i)) to '{tmp_path}/lineitem.parquet' (format parquet)""")
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    if kind != "bigint":
+        with pytest.raises(duckdb.ConversionException):
+            con.sql(sql).fetchall()
+        sql = sql.replace("CAST(sum(a) AS BIGINT)", "sum(a)")
+    df = q.QUERIES["time_slice"](spark, str(tmp_path))
+    assert dict(df.dtypes)["pids"] == kind
+    got = {(r.slab, r.in_group): (r.n, int(r.pids), r.roots) for r in df.collect()}
+    want = con.sql(f"select slab, in_group, n, pids, roots from ({sql})").fetchall()
+    assert got == {(slab, inside): (n, int(pids), roots) for slab, inside, n, pids, roots in want}
